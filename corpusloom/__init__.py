@@ -1 +1,9 @@
 """Retrieval-augmented question answering over tables, written as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so the workers need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,9 @@ passes over each text.
 
 from __future__ import annotations
 
-import pyarrow.compute as pc
+from unicodedata import normalize as normalize_form
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +79,10 @@ def tidy_whitespace(c: Column) -> Column:
 
 
 @F.arrow_udf(T.StringType())
-def nfkc_arrow(texts):
-    return pc.utf8_normalize(texts, form="NFKC")
+def nfkc_arrow(texts: pa.Array) -> pa.Array:
+    # Not Arrow's own kernel: it leaves composed letters decomposed.
+    changed = [None if t is None else normalize_form("NFKC", t) for t in texts.to_pylist()]
+    return pa.array(changed, pa.string())
 
 
 def may_change_by_nfkc(c: Column) -> Column:

@@ -40,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder. Nothing is created or deleted here."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(rows):
+    """Rows written to the shared folder, so that a costly step runs once and an
+    executor lost later does not bring it back."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return rows.checkpoint()
