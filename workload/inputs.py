@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.vectors import quantize
 from corpusloom.sources.documents import spread
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+UPPER = LOWER.upper()
 NOW = "2024-02-01 00:00:00"
 KINDS = ["my-resume", "cv", "project", "about-me", "faq", "note"]
 
@@ -109,13 +111,13 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     again = first.where(F.col("session_id").isNotNull()).select(
         (F.col("request_id") + 1).alias("request_id"), "session_id",
-        F.concat(F.lit(" "), F.upper(F.replace("message", F.lit(" "), F.lit("  ")))).alias("message"),
+        F.concat(F.lit(" "), F.translate(F.replace("message", F.lit(" "), F.lit("  ")), LOWER, UPPER)).alias("message"),
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
     )
     return first.unionByName(again)
 
 
-SQL_CHAT_REQUESTS = """
+SQL_CHAT_REQUESTS = f"""
 WITH firsts AS (
   SELECT (conv_id * 100 + turn) * 2 AS request_id,
          CASE WHEN role = 'user' THEN conv_id::VARCHAR END AS session_id,
@@ -124,7 +126,7 @@ WITH firsts AS (
   FROM conversations)
 SELECT * FROM firsts
 UNION ALL
-SELECT request_id + 1, session_id, ' ' || upper(replace(message, ' ', '  ')),
+SELECT request_id + 1, session_id, ' ' || translate(replace(message, ' ', '  '), '{LOWER}', '{UPPER}'),
        ts + INTERVAL 1 DAY
 FROM firsts WHERE session_id IS NOT NULL"""
 
