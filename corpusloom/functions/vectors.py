@@ -37,4 +37,7 @@ def l2_normalize(v: Column) -> Column:
 
 
 def quantize(v: Column) -> Column:
-    return F.transform(v, lambda x: F.round(x.cast("double"), DECIMALS).cast("float"))
+    """Six decimals. Scaled and rounded to even: `round` would go through the
+    decimal text of every element."""
+    scale = float(10**DECIMALS)
+    return F.transform(v, lambda x: (F.rint(x.cast("double") * scale) / scale).cast("float"))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20   # question vectors sent to every worker, at most
+ASSUMED_WIDTH = 4096         # where the first question has no vector
+HIT_BYTES = 128              # a row of the result, about
 BLOCK_QUESTIONS = 16_384     # questions of a tile, about
 TILE_CHUNKS = 65_536         # chunks of a tile, about
 _CELLS = 8 << 20             # scores held at a time
@@ -31,8 +33,9 @@ _SCALE = 1e12
 _NAN, _NULL, _NONE = -2 * _SCALE, -3 * _SCALE, -4 * _SCALE  # order: scores, NaN, null, unused
 
 
-def _matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(n, width) unit rows in double and the null mask. A zero row gives NaN."""
+def _matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, width) unit rows in double, and masks of the null and of the zero rows,
+    which stay zero."""
     missing = np.asarray(vectors.is_null())
     present = vectors.drop_null()
     lengths = np.asarray(pc.list_value_length(present))
@@ -41,41 +44,45 @@ def _matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarra
     if len(lengths) and not (lengths == width).all():
         raise ValueError(f"vectors of different widths; expected {width}")
     rows = np.asarray(present.flatten(), dtype=np.float64).reshape(-1, width)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        rows = rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
-    out = np.zeros((len(vectors), width))
-    out[~missing] = rows
-    return out, missing
+    sizes = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    rows = rows / np.where(sizes == 0, 1, sizes)[:, None]
+    if not missing.any():
+        return rows, missing, sizes == 0
+    out, zero = np.zeros((len(vectors), width)), np.zeros(len(vectors), dtype=bool)
+    out[~missing], zero[~missing] = rows, sizes == 0
+    return out, missing, zero
 
 
 class _Best:
     """The best k chunks of each question seen so far."""
 
     def __init__(self, q_ids: pa.Array, vectors: pa.Array, k: int):
+        present = vectors.is_valid()
+        q_ids, vectors = q_ids.filter(present), vectors.filter(present)
         self.q_ids, self.k = q_ids, k
-        self.questions, missing = _matrix(vectors, None)
-        if missing.any():
-            raise ValueError("a question has no vector")
+        self.questions, _, self.zero = _matrix(vectors, None)
         self.keys = np.full((len(q_ids), k), _NONE)
         self.ids = np.full((len(q_ids), k), None, dtype=object)
 
     def add(self, ids: pa.Array, vectors: pa.Array) -> None:
-        if not len(ids):
+        if not len(ids) or not len(self.q_ids):
             return
         order = pc.sort_indices(ids)  # columns by chunk id: the tie-break
         names = np.array(ids.take(order).to_pylist(), dtype=object)
-        chunks, missing = _matrix(vectors.take(order), self.questions.shape[1])
+        chunks, missing, zero = _matrix(vectors.take(order), self.questions.shape[1])
         step = max(1, _CELLS // len(names))
         for first in range(0, len(self.questions), step):
             rows = slice(first, first + step)
-            keys = self.questions[rows] @ chunks.T
-            keys *= _SCALE
-            np.rint(keys, out=keys)
-            keys[np.isnan(keys)] = _NAN
-            keys[:, missing] = _NULL
-            hit = np.nonzero(keys.max(axis=1) >= self.keys[rows, -1])[0]
+            scores = self.questions[rows] @ chunks.T
+            # Most rows of most batches hold nothing better, and are left here.
+            best = np.rint(scores.max(axis=1) * _SCALE)
+            hit = np.nonzero((best >= self.keys[rows, -1]) | (self.keys[rows, -1] <= _NAN))[0]
             if len(hit):
-                self._merge(hit + first, keys[hit], names)
+                keys = np.rint(scores[hit] * _SCALE)
+                keys[:, zero] = _NAN
+                keys[self.zero[rows][hit]] = _NAN
+                keys[:, missing] = _NULL
+                self._merge(hit + first, keys, names)
 
     def _merge(self, rows: np.ndarray, keys: np.ndarray, names: np.ndarray) -> None:
         n = keys.shape[1]
@@ -187,11 +194,16 @@ def top_k(
     behind NaN; ties go by chunk id. Rows without `qvec` have no result. The
     questions are counted when this is called: their number decides the form.
     """
-    questions = questions.select("q_id", "qvec").where(F.col("qvec").isNotNull())
+    # Counted without the vectors, and measured on one of them: neither makes the
+    # vectors of all questions. Questions without one are dropped where they are
+    # read; a filter here would be pushed below the embedding and repeat it.
+    n = questions.count()
+    questions = questions.select("q_id", "qvec")
+    first = questions.select(F.size("qvec")).first()
+    width = first[0] if first and (first[0] or 0) > 0 else ASSUMED_WIDTH
     chunks = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     schema = _candidates_schema(questions.schema["q_id"].dataType)
-    n, width = questions.agg(F.count("*"), F.max(F.size("qvec"))).first()
-    if n * (4 * (width or 0) + 64) <= broadcast_bytes:
+    if n * (4 * width + 64) <= broadcast_bytes:
         found = _scan(questions, chunks, k, schema)
     else:
         found = _tiles(questions, chunks, k, schema, n, chunks.count())
@@ -199,7 +211,10 @@ def top_k(
         (1.0 - F.col("similarity")).asc_nulls_last(), F.col("chunk_id")
     )
     ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("q_id", "rank", "chunk_id", "similarity")
+    ranked = ranked.select("q_id", "rank", "chunk_id", "similarity")
+    # At most k rows per question: where these are few enough, the joins to come
+    # scan the other side in place; else they shuffle.
+    return F.broadcast(ranked) if n * k * HIT_BYTES <= broadcast_bytes else ranked
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:

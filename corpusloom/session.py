@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,10 +42,10 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(rows):
-    """Rows written to the shared folder, so that a costly step runs once and an
-    executor lost later does not bring it back."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return rows.checkpoint()
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: a costly step runs once,
+    an executor lost later does not bring it back, and each reader takes only the
+    columns it needs."""
+    path = new_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

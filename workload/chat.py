@@ -9,8 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import answers as A
 from corpusloom.operators import cache
 from corpusloom.operators import retrieval as R
-from corpusloom.operators.chunking import build_chunks
-from corpusloom.operators.embedding import answer_generator, embed
+from corpusloom.operators.embedding import answer_generator
 from corpusloom.operators.knn import top_k, with_chunks
 from corpusloom.plans.chat import chat
 from corpusloom.session import new_dir
@@ -97,34 +96,32 @@ def question_keys(spark, sf_dir):
     )
 
 
-def _entries(spark, sf_dir):
-    """A cache filled by every first user message, for 12 hours, then by the same
-    one of every even conversation for 48."""
-    requests = I.chat_requests(spark, sf_dir).where(F.col("session_id").isNotNull())
+def _stored(spark, sf_dir):
+    """A cache filled by every valid request, for 12 hours, then by those with a
+    short message once more, for 48."""
+    requests = I.chat_requests(spark, sf_dir).where(chat_log.valid_request())
     rows = requests.select(
-        Q.cache_key(F.col("message")).alias("pk"),
-        F.struct(F.col("message").alias("answer")).alias("value"),
-        "ts", "session_id", "request_id",
-    ).where(F.col("request_id") % 2 == 0)
-    short = cache.cache_entries(rows, ttl_hours=12)
-    later = rows.where(F.col("session_id").cast("bigint") % 2 == 0).withColumn(
-        "ts", F.col("ts") + F.expr("INTERVAL 1 SECOND")
+        Q.cache_key(F.col("message")).alias("pk"), F.struct(F.col("message").alias("answer")).alias("value"),
+        "ts", F.length("message").alias("n_chars"),
     )
-    return short, cache.cache_entries(later)
+    short = cache.cache_entries(rows, ttl_hours=12)
+    later = rows.where(F.col("n_chars") < 150).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
+    return cache.put(cache.put(short.where("false"), short), cache.cache_entries(later))
 
 
 def cache_put(spark, sf_dir):
-    short, long = _entries(spark, sf_dir)
-    merged = cache.put(cache.put(short.where("false"), short), long)
-    return merged.select("pk", F.col("value.answer").alias("answer"), "ttl")
+    return _stored(spark, sf_dir).select("pk", F.col("value.answer").alias("answer"), "ttl")
 
 
 def cache_lookup(spark, sf_dir):
-    short, long = _entries(spark, sf_dir)
-    stored = cache.put(cache.put(short.where("false"), short), long)
+    """Each request asked again, some hours later."""
     requests = I.chat_requests(spark, sf_dir).where(chat_log.valid_request())
-    keyed = requests.select("request_id", "ts", Q.cache_key(F.col("message")).alias("pk"))
-    return cache.lookup(keyed, stored).select("request_id", "cached", F.col("value.answer").alias("answer"))
+    keyed = requests.select(
+        "request_id", Q.cache_key(F.col("message")).alias("pk"),
+        F.timestamp_seconds(F.unix_seconds("ts") + F.length("message") * 600).alias("ts"),
+    )
+    found = cache.lookup(keyed, _stored(spark, sf_dir))
+    return found.select("request_id", "cached", F.col("value.answer").alias("answer"))
 
 
 def cache_replay(spark, sf_dir):
@@ -213,7 +210,7 @@ def answer_sources(spark, sf_dir):
 
 
 def _chat(spark, sf_dir):
-    chunks = embed(build_chunks(I.documents(spark, sf_dir).select("key", "text")), "content")
+    chunks = I.embedded_chunks(spark, sf_dir)
     requests = I.chat_requests(spark, sf_dir)
     stored = spark.createDataFrame(
         [], "pk string, value struct<answer: string, sources: array<struct<id: string, title: string, "
@@ -281,7 +278,7 @@ def cache_stream(spark, sf_dir):
 
 def retrieve_stream_rows(spark, sf_dir):
     """User turns as a stream of questions over the embedded chunks of all documents."""
-    chunks = embed(build_chunks(I.documents(spark, sf_dir).select("key", "text")), "content")
+    chunks = I.embedded_chunks(spark, sf_dir)
     rows = _stream(spark, sf_dir, "conversations").where(F.col("role") == "user")
     requests = rows.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("q_id"),
@@ -319,12 +316,12 @@ QUERIES = {
 }
 
 SQL_ENTRIES = f"""
-WITH requests AS (SELECT *, {SQL_KEY} AS pk FROM ({I.SQL_CHAT_REQUESTS}) WHERE session_id IS NOT NULL),
+WITH requests AS (SELECT *, {SQL_KEY} AS pk FROM ({I.SQL_CHAT_REQUESTS}) WHERE {SQL_VALID}),
 writes AS (
-  SELECT pk, message AS answer, ts, epoch_us(ts) // 1000000 + 43200 AS ttl, 0 AS turn FROM requests WHERE request_id % 2 = 0
+  SELECT pk, message AS answer, ts, epoch_us(ts) // 1000000 + 43200 AS ttl, 0 AS turn FROM requests
   UNION ALL
-  SELECT pk, message, ts + INTERVAL 1 SECOND, epoch_us(ts) // 1000000 + 1 + {TTL_SECONDS}, 1
-  FROM requests WHERE request_id % 2 = 0 AND session_id::BIGINT % 2 = 0),
+  SELECT pk, message, ts, epoch_us(ts) // 1000000 + 1 + {TTL_SECONDS}, 1
+  FROM requests WHERE length(message) < 150),
 stored AS MATERIALIZED (
   SELECT pk, answer, ttl FROM writes
   QUALIFY row_number() OVER (PARTITION BY pk ORDER BY turn DESC, ts DESC) = 1)"""
@@ -382,8 +379,8 @@ SQL = {
     "question_keys": f"SELECT request_id, {SQL_NORMAL} AS normal, {SQL_KEY} AS pk FROM ({I.SQL_CHAT_REQUESTS})",
     "cache_put": f"{SQL_ENTRIES} SELECT * FROM stored",
     "cache_lookup": f"""{SQL_ENTRIES}
-SELECT r.request_id, coalesce(ttl > epoch_us(ts) / 1000000, false) AS cached,
-       CASE WHEN ttl > epoch_us(ts) / 1000000 THEN answer END AS answer
+SELECT r.request_id, coalesce(ttl > epoch_us(ts) // 1000000 + length(message) * 600, false) AS cached,
+       CASE WHEN ttl > epoch_us(ts) // 1000000 + length(message) * 600 THEN answer END AS answer
 FROM requests r LEFT JOIN stored s ON s.pk = r.pk""",
     "cache_replay": f"WITH {sql_replay(I.SQL_CACHE_REQUESTS)} SELECT request_id, key, hit FROM replayed",
     "cache_replay_hot_key": f"""

@@ -209,7 +209,6 @@ def sql_embedding(texts: str, dim: int, name: str = "embedded") -> str:
     mix = lambda k: _mul(_rotl(_mul(k, 0xCC9E2D51), 15), 0x1B873593)
     rows = f"list_transform(range(n // 4), lambda b: {word})"
     body = f"list_reduce({rows}, lambda a, k: {_mul(_rotl('xor(a, ' + mix('k') + ')', 13), 5)} + 3864292196::UBIGINT & 4294967295::UBIGINT, 42::UBIGINT)"
-    tail = f"list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {byte('i')}), lambda a, k: xor(a, {mix('k')}), {{body}})"
     tail = (
         "list_reduce(list_transform(range(n % 4), lambda i: "
         f"{byte('n // 4 * 4 + i')} << (8 * i)::INT), lambda a, k: a | k, 0::UBIGINT)"
@@ -233,7 +232,7 @@ def sql_embedding(texts: str, dim: int, name: str = "embedded") -> str:
   SELECT text, map(list(b), list(c)) AS m, sqrt(sum(c * c)) + 1e-12 AS size FROM {name}_counts GROUP BY text),
 {name} AS MATERIALIZED (
   SELECT text, list_transform(range({dim}),
-    lambda b: round((coalesce(m[b], 0.0) / size)::FLOAT::DOUBLE, 6)::FLOAT) AS vec FROM {name}_maps)"""
+    lambda b: round_even((coalesce(m[b], 0.0) / size)::FLOAT::DOUBLE, 6)::FLOAT) AS vec FROM {name}_maps)"""
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -356,18 +355,19 @@ def chunk_files_round_trip(spark, sf_dir):
 
 
 def chunk_upsert(spark, sf_dir):
-    """The store holds every vector. The batch brings half of the chunks anew, each
-    twice, and as many that are not in the store."""
+    """The store holds every vector, and each once more as an old chunk. The batch
+    brings every vector anew, twice, and each as a new chunk."""
     store = I.vector_store(spark, sf_dir)
     number = F.substring("chunk_id", 2, 8).cast("bigint")
-    target = store.select(
-        number.alias("id"), "title", "url", "chunk_id", "content", "section", "embedding",
-    )
-    odd = store.where(number % 2 == 1)
-    old = odd.withColumn("at", F.lit(1)).withColumn("title", F.lit("first"))
-    new = odd.withColumn("at", F.lit(2)).withColumn("title", F.concat(F.lit("second "), "chunk_id"))
-    added = new.withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id"))
-    batch = old.unionByName(new).unionByName(added)
+
+    def renamed(rows, prefix):
+        return rows.withColumn("chunk_id", F.concat(F.lit(prefix), "chunk_id"))
+
+    known = store.withColumn("id", number)
+    target = known.unionByName(renamed(known.withColumn("id", -number), "o"))
+    first = store.withColumn("at", F.lit(1)).withColumn("title", F.lit("first"))
+    second = store.withColumn("at", F.lit(2)).withColumn("title", F.concat(F.lit("second "), "chunk_id"))
+    batch = first.unionByName(second).unionByName(renamed(second, "n"))
     merged = chunk_store.merge(target, batch, order="at")
     return merged.select("id", "title", "url", "chunk_id", "section", F.size("embedding").alias("dim"))
 
@@ -386,7 +386,8 @@ def model_input_prefix(spark, sf_dir):
 
 
 def _exploded(rows, key):
-    return rows.select(key, F.posexplode("embedding").alias("pos", "x")).select(
+    # The outer form: the inner one adds a filter that embeds once more.
+    return rows.select(key, F.posexplode_outer("embedding").alias("pos", "x")).select(
         key, "pos", F.round(F.col("x").cast("double"), 6).alias("x")
     )
 
@@ -506,10 +507,9 @@ WITH {sql_chunks(f"SELECT key, {sql_html('text')} AS text FROM ({I.SQL_PAGES})",
     "chunk_files_round_trip": f"WITH {sql_chunks(SQL_PLAIN, 600, 50)} {_CHUNKED}",
     "chunk_upsert": f"""
 WITH store AS (SELECT *, substr(chunk_id, 2)::BIGINT AS id, len(embedding)::INT AS dim FROM ({I.SQL_VECTOR_STORE}))
-SELECT id, CASE WHEN id % 2 = 1 THEN 'second ' || chunk_id ELSE title END AS title, url, chunk_id, section, dim
-FROM store
-UNION ALL
-SELECT NULL, 'second ' || chunk_id, url, 'n' || chunk_id, section, dim FROM store WHERE id % 2 = 1""",
+SELECT id, 'second ' || chunk_id AS title, url, chunk_id, section, dim FROM store
+UNION ALL SELECT -id, title, url, 'o' || chunk_id, section, dim FROM store
+UNION ALL SELECT NULL, 'second ' || chunk_id, url, 'n' || chunk_id, section, dim FROM store""",
     "chunk_store_scan": f"SELECT chunk_id, section FROM ({I.SQL_VECTOR_STORE})",
     "model_input_prefix": "SELECT doc_id, 'query: ' || text AS text FROM documents",
     "default_embedding": f"""
@@ -524,7 +524,7 @@ WITH counts AS MATERIALIZED (
 sized AS MATERIALIZED (
   SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12 AS size FROM counts)
 SELECT doc_id, unnest(range(26))::INT AS pos,
-       round(unnest(list_transform(v, lambda x: round((x / size)::FLOAT::DOUBLE, 6))), 6) AS x FROM sized""",
+       round(unnest(list_transform(v, lambda x: round_even((x / size)::FLOAT::DOUBLE, 6))), 6) AS x FROM sized""",
     "l2_normalized": """
 WITH scaled AS MATERIALIZED (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 4) AS v FROM embeddings),
@@ -534,7 +534,7 @@ SELECT vec_id, unnest(range(len(v)))::INT AS pos,
        round(unnest(list_transform(v, lambda x: (x / size)::FLOAT::DOUBLE)), 6) AS x FROM sized""",
     "quantized": """
 SELECT vec_id, unnest(range(len(embedding)))::INT AS pos,
-       round(unnest(list_transform(embedding, lambda x: round(x::DOUBLE, 6)::FLOAT::DOUBLE)), 6) AS x
+       round(unnest(list_transform(embedding, lambda x: round_even(x::DOUBLE, 6)::FLOAT::DOUBLE)), 6) AS x
 FROM embeddings""",
     "embed_and_index": f"""
 WITH {sql_chunks(SQL_PLAIN, 600, 50)}

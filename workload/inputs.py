@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import quantize
+from corpusloom.operators.chunking import build_chunks
+from corpusloom.operators.embedding import embed
+from corpusloom.session import written
 from corpusloom.sources.documents import spread
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -66,7 +69,7 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_QUANTIZED = "list_transform({v}, lambda x: round(x::DOUBLE, 6)::FLOAT)"
+SQL_QUANTIZED = "list_transform({v}, lambda x: round_even(x::DOUBLE, 6)::FLOAT)"
 
 SQL_VECTOR_STORE = f"""
 SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS chunk_id,
@@ -97,6 +100,12 @@ SELECT vec_id AS q_id, {SQL_QUANTIZED.format(v='embedding')} AS qvec,
 FROM embeddings LEFT JOIN documents ON vec_id = doc_id"""
 
 
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents with their vectors, as a table."""
+    chunks = build_chunks(documents(spark, sf_dir).select("key", "text"))
+    return written(embed(chunks, "content"), "embedded")
+
+
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of the conversations as requests. Assistant turns have no session,
     so they are invalid; each user turn comes a second time a day later, with

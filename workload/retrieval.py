@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import questions as Q
 from corpusloom.functions import vectors as V
 from corpusloom.operators import retrieval as R
-from corpusloom.operators.chunking import build_chunks
-from corpusloom.operators.embedding import embed, pair_scorer
+from corpusloom.operators.embedding import pair_scorer
 from corpusloom.operators.knn import top_k, with_chunks
 from corpusloom.plans.retrieve import retrieve, with_question
 from workload import inputs as I
@@ -188,7 +187,7 @@ def chit_chat_gate(spark, sf_dir):
 
 def retrieve_requests(spark, sf_dir):
     """User turns as text questions, over the embedded chunks of all documents."""
-    chunks = embed(build_chunks(I.documents(spark, sf_dir).select("key", "text")), "content")
+    chunks = I.embedded_chunks(spark, sf_dir)
     rows = I.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     requests = rows.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("q_id"),
