@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.questions import clean_snippet, preview
@@ -75,20 +75,25 @@ def shape_snippets(hits: DataFrame, n: int = SNIPPETS) -> DataFrame:
     )
 
 
-def gather(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """Ranked rows to one ordered array per question. A question has at most a
-    top-k of rows, so the array is small."""
+def gather(rows: DataFrame, fields: list[str], name: str, *also: Column) -> DataFrame:
+    """Ranked rows to one ordered array per question, and other aggregates. A
+    question has at most a top-k of rows, so the array is small."""
     item = F.struct(F.col("rank").alias("_rank"), *fields)
     ordered = F.array_sort(F.collect_list(item))
     plain = F.transform(ordered, lambda s: F.struct(*[s[f].alias(f) for f in fields]))
-    return rows.groupBy("q_id").agg(plain.alias(name))
+    return rows.groupBy("q_id").agg(plain.alias(name), *also)
 
 
 def snippets(hits: DataFrame, n: int = SNIPPETS) -> DataFrame:
     return gather(shape_snippets(hits, n), SNIPPET.fieldNames(), "snippets")
 
 
-def shape_candidates(hits: DataFrame, n: int = CANDIDATES) -> DataFrame:
+def counted(hits: DataFrame) -> DataFrame:
+    """Add `n_found`, the question's number of hits, without a second search."""
+    return hits.withColumn("n_found", F.count("*").over(Window.partitionBy("q_id")))
+
+
+def shape_candidates(hits: DataFrame, n: int = CANDIDATES, *keep: str) -> DataFrame:
     """The first n of the nearest chunks (with title, url, content) as candidates."""
     return hits.where(F.col("rank") <= n).select(
         "q_id",
@@ -99,6 +104,7 @@ def shape_candidates(hits: DataFrame, n: int = CANDIDATES) -> DataFrame:
         "content",
         preview(F.col("content")).alias("preview"),
         F.round(F.coalesce("similarity", F.lit(0.0)), SCORE_DECIMALS).alias("similarity"),
+        *keep,
     )
 
 

@@ -138,11 +138,10 @@ def cache_replay_hot_key(spark, sf_dir):
 def _sources(spark, sf_dir):
     store = I.vector_store(spark, sf_dir)
     questions = I.vector_questions(spark, sf_dir)
-    near = top_k(questions, store, R.CHAT_K)
-    candidates = R.shape_candidates(with_chunks(near, store, "title", "url", "content"))
-    found = near.groupBy("q_id").agg(F.count("*").alias("n_found"))
-    best = R.rerank(candidates, questions, enabled=False)
-    return A.gather_sources(best).join(found, "q_id").join(questions.select("q_id", "message"), "q_id")
+    near = R.counted(top_k(questions, store, R.CHAT_K))
+    hits = with_chunks(near, store, "title", "url", "content")
+    best = R.rerank(R.shape_candidates(hits, R.CANDIDATES, "n_found"), questions, enabled=False)
+    return A.gather_sources(best).join(questions.select("q_id", "message"), "q_id")
 
 
 def context_blocks(spark, sf_dir):
