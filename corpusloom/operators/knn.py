@@ -74,29 +74,49 @@ class _Best:
         for first in range(0, len(self.questions), step):
             rows = slice(first, first + step)
             scores = self.questions[rows] @ chunks.T
+            scores[:, zero] = _NAN / _SCALE
+            scores[self.zero[rows]] = _NAN / _SCALE
+            scores[:, missing] = _NULL / _SCALE
             # Most rows of most batches hold nothing better, and are left here.
-            best = np.rint(scores.max(axis=1) * _SCALE)
-            hit = np.nonzero((best >= self.keys[rows, -1]) | (self.keys[rows, -1] <= _NAN))[0]
+            worst = self.keys[rows, -1]
+            hit = np.nonzero(scores.max(axis=1) >= (worst - 1) / _SCALE)[0]
             if len(hit):
-                keys = np.rint(scores[hit] * _SCALE)
-                keys[:, zero] = _NAN
-                keys[self.zero[rows][hit]] = _NAN
-                keys[:, missing] = _NULL
-                self._merge(hit + first, keys, names)
-
-    def _merge(self, rows: np.ndarray, keys: np.ndarray, names: np.ndarray) -> None:
-        n = keys.shape[1]
-        if n > self.k:
-            edge = np.partition(keys, n - self.k, axis=1)[:, n - self.k, None]
-            above, tied = keys > edge, keys == edge
-            room = self.k - above.sum(axis=1, keepdims=True)
-            columns = np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= room)))[1]
-            columns = columns.reshape(len(rows), self.k)
-        else:
-            columns = np.broadcast_to(np.arange(n), keys.shape)
-        new_keys = np.take_along_axis(keys, columns, axis=1)
+                keys, columns = self._select(scores[hit], worst[hit])
+                self._merge(hit + first, keys, names[columns])
+
+    def _select(self, scores: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, k) keys and columns of the best scores per row, in order, that are no
+        worse than the worst one kept; what is left over is filled with _NONE."""
+        n, k = scores.shape[1], self.k
+        floor = (worst - 1) / _SCALE
+        empty = worst <= _NONE
+        if empty.any() and n > k:
+            floor[empty] = np.partition(scores[empty], n - k, axis=1)[:, n - k] - 1 / _SCALE
+        mask = scores >= floor[:, None]
+        keys = np.full((len(scores), k), _NONE)
+        columns = np.zeros((len(scores), k), dtype=np.int64)
+        # Rows with very many ties are cut one by one, without sorting them all.
+        for r in np.nonzero(mask.sum(axis=1) > 8 * k)[0]:
+            mask[r] = False
+            row = np.rint(scores[r] * _SCALE)
+            edge = np.partition(row, n - k)[n - k]
+            above = np.nonzero(row > edge)[0]
+            chosen = np.concatenate([above, np.nonzero(row == edge)[0][: k - len(above)]])
+            chosen = chosen[np.argsort(-row[chosen], kind="stable")]
+            keys[r], columns[r] = row[chosen], chosen
+        r, c = np.nonzero(mask)
+        values = np.rint(scores[r, c] * _SCALE)
+        order = np.lexsort((c, -values, r))
+        r, c, values = r[order], c[order], values[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        kept = place < k
+        keys[r[kept], place[kept]] = values[kept]
+        columns[r[kept], place[kept]] = c[kept]
+        return keys, columns
+
+    def _merge(self, rows: np.ndarray, new_keys: np.ndarray, new_ids: np.ndarray) -> None:
         all_keys = np.concatenate([self.keys[rows], new_keys], axis=1)
-        all_ids = np.concatenate([self.ids[rows], names[columns]], axis=1)
+        all_ids = np.concatenate([self.ids[rows], new_ids], axis=1)
         order = np.argsort(-all_keys, axis=1, kind="stable")
         all_keys = np.take_along_axis(all_keys, order, axis=1)
         all_ids = np.take_along_axis(all_ids, order, axis=1)

@@ -13,7 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A hot key on one side of a join is split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Also where an aggregation on the join key follows and needs a shuffle then.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Keyed stream state lives on local disk with changelogs in the checkpoint.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -27,6 +28,13 @@ def build_session(app_name: str = "corpusloom", **overrides: str) -> SparkSessio
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that is already running."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only when none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.schemas import CHUNK_STORE
+from corpusloom.session import written
 from corpusloom.sources.upsert import keyed_upsert
 
 
+BROADCAST_ROWS = 500_000  # chunk ids and store ids sent to every worker, at most
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
@@ -36,21 +40,36 @@ def store_rows(embedded: DataFrame, *, now=None) -> DataFrame:
     )
 
 
-def merge(target: DataFrame, batch: DataFrame, *, order: str) -> DataFrame:
+def merge(
+    target: DataFrame, batch: DataFrame, *, order: str, small_batch: bool = False
+) -> DataFrame:
     """Upsert by chunk id. All columns but `id` are replaced; a known chunk keeps
     its id, and a new one has none yet."""
-    known = target.select("chunk_id", "id").join(batch.select("chunk_id").distinct(), "chunk_id")
-    rows = batch.drop("id").join(known, "chunk_id", "left")
-    return keyed_upsert(target, rows, "chunk_id", order=order)
+    keys = batch.select("chunk_id").distinct()
+    known = target.select("chunk_id", "id").join(
+        F.broadcast(keys) if small_batch else keys, "chunk_id"
+    )
+    rows = batch.drop("id").join(F.broadcast(known) if small_batch else known, "chunk_id", "left")
+    return keyed_upsert(target, rows, "chunk_id", order=order, small_batch=small_batch)
 
 
-def upsert(spark: SparkSession, root: str, batch: DataFrame, *, order: str) -> None:
+def upsert(
+    spark: SparkSession, root: str, batch: DataFrame, *, order: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> None:
     """Merge a batch into the store as a new version. New chunks get ids above
-    all others: unique, with gaps."""
+    all others: unique, with gaps.
+
+    The batch is written down first: it is embedded once, and counted, which
+    decides whether its keys are broadcast.
+    """
     versions = _versions(spark, root)
     target = read_store(spark, root)
+    batch = written(batch, "batch")
+    small = batch.count() <= broadcast_rows
     last = target.agg(F.max("id")).first()[0] or 0
     fresh = F.lit(last + 1) + F.monotonically_increasing_id()
-    merged = merge(target, batch, order=order).withColumn("id", F.coalesce("id", fresh))
+    merged = merge(target, batch, order=order, small_batch=small)
     version = versions[-1] + 1 if versions else 0
-    merged.write.mode("overwrite").parquet(f"{root}/version={version:08d}")
+    path = f"{root}/version={version:08d}"
+    merged.withColumn("id", F.coalesce("id", fresh)).write.mode("overwrite").parquet(path)

@@ -13,9 +13,13 @@ def last_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
     return batch.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n")
 
 
-def keyed_upsert(target: DataFrame, batch: DataFrame, key: str, *, order: str) -> DataFrame:
+def keyed_upsert(
+    target: DataFrame, batch: DataFrame, key: str, *, order: str, small_batch: bool = False
+) -> DataFrame:
     """`target` with the rows of `batch` in place of those with the same key. Rows
-    missing from the batch stay. A small batch is broadcast by the planner, and
-    the target is then not shuffled."""
+    missing from the batch stay. With `small_batch`, for a batch whose size has
+    been checked, the keys are broadcast and the target is not shuffled."""
     rows = last_per_key(batch, key, order).select(*target.columns)
-    return target.join(rows.select(key), key, "left_anti").select(*target.columns).unionByName(rows)
+    keys = rows.select(key)
+    kept = target.join(F.broadcast(keys) if small_batch else keys, key, "left_anti")
+    return kept.select(*target.columns).unionByName(rows)
