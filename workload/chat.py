@@ -173,12 +173,12 @@ def chat_messages(spark, sf_dir):
     return rows.select("q_id", "pos", "m.role", "m.content")
 
 
-def shouting_generator():
-    """A small model for the generator slot; fails on long prompts."""
+def echoing_generator():
+    """A small model for the generator slot: the end of the prompt; fails on long ones."""
     import numpy as np
 
     def predict(prompts):
-        return np.array([p.upper()[-40:] if p and len(p) < 3000 else None for p in prompts], dtype=object)
+        return np.array([p[-40:] if p and len(p) < 3000 else None for p in prompts], dtype=object)
 
     return predict
 
@@ -187,7 +187,7 @@ def generated_answers(spark, sf_dir):
     rows = _sources(spark, sf_dir)
     question = T.strip(F.coalesce("message", F.lit("")))
     prompt = A.render_prompt(question, A.context_block(F.col("sources"), A.CHAT_CONTEXTS))
-    model = answer_generator(shouting_generator, batch_size=8)
+    model = answer_generator(echoing_generator, batch_size=8)
     answer = F.when(question != "", model(prompt))
     value = A.answer_value(answer, F.col("n_found"), F.col("sources"))
     return rows.select("q_id", value.alias("v")).select(
@@ -395,7 +395,7 @@ SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY m.o) - 1)::INT AS po
 FROM messages WHERE m.content <> ''""",
     "generated_answers": f"""
 {SQL_SOURCES}
-SELECT q_id, CASE WHEN question <> '' AND length(prompt) < 3000 THEN right(upper(prompt), 40) ELSE fallback END AS answer,
+SELECT q_id, CASE WHEN question <> '' AND length(prompt) < 3000 THEN right(prompt, 40) ELSE fallback END AS answer,
        6 AS n_sources FROM prompted""",
     "fallback_answers": f"{SQL_SOURCES} SELECT q_id, fallback AS answer FROM contexts",
     "answer_sources": f"{SQL_CANDIDATES} SELECT q_id, (rank - 1)::INT AS pos, id, title, similarity FROM candidates WHERE rank <= 6",
