@@ -162,6 +162,7 @@ def sql_html(c: str) -> str:
     decoded = "n"
     for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         decoded = f"replace({decoded}, '&{entity};', '{char}')"
+        decoded = sub(decoded, f"&{entity}([^-.a-zA-Z0-9]|$)", rf"{char}\1")
     blank = r"CASE WHEN regexp_full_match(n, '[ \t\n\f\r]*') THEN CASE WHEN contains(n, chr(10)) THEN chr(10) ELSE ' ' END ELSE n END"
     return (
         f"array_to_string(list_transform(list_transform({nodes}, lambda n: {decoded}), "
