@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,10 +37,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when none is configured."""
+    """The folder that all executors and the driver share, from `spark.checkpoint.dir`.
+
+    On one machine only, where it is unset, a temporary folder takes its place. On
+    a cluster such a folder would be another one on each machine, so that rows
+    written there could not be read back: that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     local = tempfile.mkdtemp(prefix="corpusloom-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

@@ -65,3 +65,36 @@ def test_log_items(spark):
     items = chat_log.log_items(rows).orderBy("message").collect()
     assert [(r.PK, r.message) for r in items] == [("CHAT#s", ""), ("CHAT#s", "m")]
     assert items[0].SK.startswith("1970-01-01T00:00:00.000Z#") and len(items[0].SK) == 61
+
+
+class _Conf:
+    def __init__(self, **values):
+        self.values = {k.replace("_", "."): v for k, v in values.items()}
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def set(self, key, value):
+        self.values[key] = value
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[3,2,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace
+
+    from corpusloom.session import shared_dir
+
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=_Conf(spark_master=master)))
+    conf = _Conf(spark_master=master, spark_checkpoint_dir="hdfs://shared/folder/")
+    assert shared_dir(SimpleNamespace(conf=conf)) == "hdfs://shared/folder"
+
+
+@pytest.mark.parametrize("master", ["local", "local[*]", "local[8]"])
+def test_one_machine_may_use_a_folder_of_its_own(master):
+    from types import SimpleNamespace
+
+    from corpusloom.session import shared_dir
+
+    conf = _Conf(spark_master=master)
+    assert shared_dir(SimpleNamespace(conf=conf)) == conf.get("spark.checkpoint.dir")

@@ -35,7 +35,7 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", [name for module in entry.BASE for name in module.QUERIES])
 def test_query(spark, connection, name):
     frame = entry.queries()[name](spark, SF_DIR)
     found = rows_of(frame.columns, frame.collect())
