@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import sharding
+from corpusloom.llm import exact_dedup, sharding, simhash
 
 SHARDS = 8
 
@@ -22,7 +22,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256",
+    )
+
+
+SQL_EXACT_DEDUP = r"""
+WITH sized AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents),
+placed AS (
+  SELECT doc_id, text_sha256,
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM sized)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM placed"""
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"), width=3).select(
+        "doc_id", "fingerprint", "component_id",
+    )
+
+
 QUERIES = {
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
     "op10_sharding": op10_sharding,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_exact_dedup": SQL_EXACT_DEDUP,
+}
