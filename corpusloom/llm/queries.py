@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, sharding, simhash
+from corpusloom.llm import exact_dedup, mixing, packing, sharding, simhash
 
 SHARDS = 8
 
@@ -22,6 +22,87 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.round(F.element_at(F.filter("positions", lambda p: p.isNotNull()), 1), 9)
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.when(F.col("copies") > 0, first).alias("first_position"),
+    )
+
+
+def _sql_position() -> str:
+    cases = []
+    for number, knots in enumerate(mixing.SCHEDULES):
+        out = "0.0::DOUBLE"
+        for start, weight, slope, before in mixing.integrated(knots):
+            more = f"(share - {before!r}::DOUBLE)"
+            time = f"{start!r}::DOUBLE + 2 * {more} / ({weight!r}::DOUBLE + sqrt({weight * weight!r}::DOUBLE + {2 * slope!r}::DOUBLE * {more}))"
+            out = f"CASE WHEN {more} > 0 THEN {time} ELSE {out} END"
+        cases.append(f"WHEN {number} THEN {out}")
+    return f"least(CASE turn {' '.join(cases)} END, 1.0)"
+
+
+SQL_MIXING = rf"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '/mix') AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
+         row_number() OVER (PARTITION BY source ORDER BY key, size) AS place
+  FROM sized),
+weighted AS (
+  SELECT *, CASE turn {" ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS))} END AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} AS turn
+        FROM sized GROUP BY source)),
+filled AS (
+  SELECT *, {mixing.SHARE} * sum(source_size) OVER () AS total,
+         coalesce(sum({mixing.MOST} * source_size) OVER (ORDER BY {mixing.MOST} * source_size / weight, source
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(weight) OVER (ORDER BY {mixing.MOST} * source_size / weight DESC, source DESC ROWS UNBOUNDED PRECEDING) AS free
+  FROM weighted),
+levels AS (
+  SELECT arg_min((total - capped)::DOUBLE / free, -free) AS level FROM filled
+  WHERE NOT weight * ((total - capped)::DOUBLE / free) > {mixing.MOST} * source_size),
+aimed AS (
+  SELECT source, source_size, turn, least(coalesce(weight * level, 'infinity'), ({mixing.MOST} * source_size)::DOUBLE) AS target
+  FROM weighted, levels),
+rounds AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS rounds FROM aimed),
+rests AS (SELECT *, target - rounds * source_size AS rest FROM rounds),
+joined AS (
+  SELECT p.*, source_size, turn, target, rounds, rest,
+         coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY p.source), 0) AS done
+  FROM placed p JOIN rests r ON p.source IS NOT DISTINCT FROM r.source),
+extras AS (
+  SELECT source, min(struct_pack(o := abs(size - (rest - done)), k := key, p := place, s := size)) AS extra
+  FROM joined WHERE upto > rest AND abs(size - (rest - done)) < rest - done GROUP BY source),
+chosen AS (
+  SELECT j.*, extra, coalesce(extra.p = place, false) AS is_extra
+  FROM joined j LEFT JOIN extras e ON j.source IS NOT DISTINCT FROM e.source),
+copied AS (
+  SELECT *, least(rounds + (upto <= rest OR is_extra)::BIGINT, {mixing.MOST}) AS copies,
+         ((CASE WHEN rounds = 0 AND is_extra THEN done ELSE upto - size END) + size / 2)
+         / greatest(rounds * source_size + done + coalesce(extra.s, 0), 1) AS share
+  FROM chosen)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
+       CASE WHEN copies > 0 THEN round({_sql_position()}, 9) END AS first_position
+FROM copied"""
+
+WINDOW_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary the packing query is told to use."""
+    import public_tokenizers
+
+    return public_tokenizers.path(WINDOW_TOKENIZER)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256",
@@ -48,10 +129,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op10_sharding": op10_sharding,
 }
 SQL: dict[str, str] = {
+    "op3_mixing": SQL_MIXING,
     "op7_exact_dedup": SQL_EXACT_DEDUP,
 }
