@@ -16,11 +16,13 @@ tokens never move; only the pieces leave it.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -30,43 +32,85 @@ TIERS = (2048, 1024, 512, 256, 128)
 END_ID = 1
 GROUP_TOKENS = 1 << 22   # tokens of the documents packed together, about
 STEP_TOKENS = 1 << 16    # padded tokens of a training step
-CACHED_WORDS = 200_000
+CACHED_PARTS = 400_000   # of words, remembered by a task
+_JOINED = 2000           # plain words encoded at a time
+_PLAIN = "[A-Za-z0-9À-ÖØ-öø-ÿ]"
 
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]  # document, start, length
 
 
 class WordTokens:
-    """Token ids of texts for a tokenizer that never joins across white space: each
-    distinct word is encoded once per block and remembered for the next."""
+    """Token ids of texts, for a tokenizer that never joins across white space, nor a
+    letter or digit with a sign after it.
+
+    A word of plain letters and digits is told from the signs after it, since there
+    are far fewer of either than of both together. Each part is encoded once and
+    remembered; the plain ones many at a time, with a stop between them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {}
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self._known]
-        if len(self._known) + len(new) > CACHED_WORDS:
-            self._known = {w: self._known[w] for w in words if w in self._known}
-        for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self._known[word] = found.ids
-        return [self._known[w] for w in words]
+        self._tokenizer = Tokenizer.from_file(path)
+        (self._stop,) = self._encode(".")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {"": 0}
+        self._ids, self._sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
+
+    def _encode(self, text: str) -> list[int]:
+        return self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, parts: list[str], plain: bool) -> None:
+        new = [p for p in parts if p not in self._known]
+        self._known.update(zip(new, range(len(self._known), len(self._known) + len(new))))
+        for first in range(0, len(new), _JOINED):
+            some = new[first : first + _JOINED]
+            if plain:
+                ids = np.array(self._encode(" . ".join(some)), dtype=np.uint32)
+                stops = np.concatenate([[-1], np.nonzero(ids == self._stop)[0], [len(ids)]])
+                sizes, ids = np.diff(stops) - 1, ids[ids != self._stop]
+            else:
+                found = [self._encode(p) for p in some]
+                sizes, ids = np.fromiter(map(len, found), dtype=np.int64), np.array([i for f in found for i in f], dtype=np.uint32)
+            self._ids.append(ids)
+            self._sizes.append(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and the count of each."""
+        if len(self._known) > CACHED_PARTS:
+            self._forget()
+        head = pc.utf8_rtrim(words, characters=string.punctuation)
+        plain = pc.match_substring_regex(head, f"^{_PLAIN}+$")
+        head = pc.if_else(plain, pc.utf8_lower(head), words)
+        tail = pc.if_else(plain, pc.replace_substring_regex(words, f"^{_PLAIN}+", ""), "")
+        self._learn(pc.unique(head.filter(plain)).to_pylist(), True)
+        head, tail = head.dictionary_encode(), tail.dictionary_encode()
+        parts = [head.dictionary.to_pylist(), tail.dictionary.to_pylist()]
+        self._learn([*parts[0], *parts[1]], False)  # what is left
+        number = [np.fromiter(map(self._known.__getitem__, p), dtype=np.int64, count=len(p)) for p in parts]
+        both = np.stack([number[0][np.asarray(head.indices)], number[1][np.asarray(tail.indices)]], axis=1)
+        self._ids, self._sizes = [np.concatenate(self._ids)], [np.concatenate(self._sizes)]
+        ids, sizes = _gathered(self._ids[0], self._sizes[0], both.ravel())
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, END_ID after each, and the count of each text."""
         words = words_of(texts)
-        ids = [*self._ids(words.distinct), [END_ID]]
-        flat = np.fromiter((i for word in ids for i in word), dtype=np.uint32)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        codes = np.insert(words.codes, words.offsets[1:], len(ids) - 1)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        at = np.repeat(starts[codes] - (ends - lengths), lengths)
-        at += np.arange(len(at))
+        ids, sizes = self._words(words.distinct)
+        codes = np.insert(words.codes, words.offsets[1:], len(sizes))
+        out, lengths = _gathered(np.append(ids, np.uint32(END_ID)), np.append(sizes, 1), codes)
         last = words.offsets[1:] + np.arange(len(texts))  # where each text's END_ID stands in codes
-        return flat[at], np.diff(ends[last], prepend=0)
+        return out, np.diff(np.cumsum(lengths)[last], prepend=0)
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat` (of the given sizes, one after the other) named by codes, and their sizes."""
+    starts, lengths = np.cumsum(sizes) - sizes, sizes[codes]
+    at = np.repeat(starts[codes] - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at], lengths
 
 
 def _split(position: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

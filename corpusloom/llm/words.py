@@ -22,7 +22,7 @@ BLOCK_BYTES = 8 << 20
 class Words:
     codes: np.ndarray    # of all texts, one after the other
     offsets: np.ndarray  # where each text begins in them; one more than texts
-    distinct: list[str]  # behind the codes
+    distinct: pa.Array   # behind the codes
 
 
 def words_of(texts: pa.Array) -> Words:
@@ -40,7 +40,7 @@ def words_of(texts: pa.Array) -> Words:
         flat = flat.filter(real)
     coded = flat.dictionary_encode()
     return Words(
-        np.asarray(coded.indices, dtype=np.int64), np.concatenate([[0], np.cumsum(counts)]), coded.dictionary.to_pylist(),
+        np.asarray(coded.indices, dtype=np.int64), np.concatenate([[0], np.cumsum(counts)]), coded.dictionary,
     )
 
 

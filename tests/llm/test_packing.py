@@ -31,7 +31,7 @@ def test_tokens(texts):
 
 @pytest.mark.parametrize("cached", [1, 10**6])
 def test_special_strings_and_cache(monkeypatch, cached):
-    monkeypatch.setattr(packing, "CACHED_WORDS", cached)
+    monkeypatch.setattr(packing, "CACHED_PARTS", cached)
     texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "it's I'LL 12 3é", "", None, "word " * 1000]
     encoder = packing.WordTokens(PATH)
     for _ in range(2):
