@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing, packing, sharding, simhash
+from corpusloom.llm import exact_dedup, mixing, packing, sharding, simhash, toxicity, urls
 
 SHARDS = 8
 
@@ -14,6 +14,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the document that its path ends with is of low quality or toxic."""
+    document = F.regexp_extract("url", r"://[^?#]*?([0-9]+)[^/?#0-9]*/?([?#].*)?$", 1).try_cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", document.alias("shown"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("shown")).agg(
+        F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"),
+    )
+    return urls.judged(pages.join(labels, "shown", "left"), RULES)
+
+
+def _sql_level(depth: int) -> str:
+    shape = (
+        f"CASE WHEN segments[{depth + 2}] IS NULL THEN 'leaf' WHEN regexp_matches(segments[{depth + 2}], '{urls.VARIABLE}') THEN 'varies'"
+        f" WHEN contains(segments[{depth + 2}], '.') THEN 'page' ELSE 'other' END"
+    )
+    counts = ", ".join(f"count(*) FILTER ({shape} = '{s}') AS {s}" for s in urls.SHAPES)
+    totals = ", ".join(f"sum({c}) AS all_{c}" for c in ("pages", "bad", "good", *urls.SHAPES))
+    return f"""
+branches{depth} AS (
+  SELECT host, template, segments[{depth + 1}] AS segment, count(*) AS pages, count(*) FILTER (bad = 1) AS bad,
+         count(*) FILTER (bad = 0) AS good, {counts}
+  FROM level{depth} WHERE segments[{depth + 1}] IS NOT NULL GROUP BY ALL),
+totals{depth} AS (SELECT host, template, {totals} FROM branches{depth} GROUP BY ALL),
+fates{depth} AS (
+  SELECT host, template, segment,
+         CASE WHEN regexp_matches(segment, '{urls.VARIABLE}') OR segment IN ('*', '**') OR pages < {urls.LEAST_PAGES}
+                OR pages < {urls.LEAST_SHARE} * all_pages THEN '*'
+              WHEN {urls.LABEL_TEST} < {urls.LABEL_LIMIT}
+                AND (CASE WHEN pages = all_pages THEN false ELSE {urls.SHAPE_TEST} < {urls.SHAPE_LIMIT} END) THEN '*'
+              ELSE segment END AS fate
+  FROM branches{depth} JOIN totals{depth} USING (host, template)),
+level{depth + 1} AS (
+  SELECT l.* EXCLUDE (template),
+         CASE WHEN segments[{depth + 1}] IS NULL THEN l.template ELSE l.template || '/' || fate END AS template
+  FROM level{depth} l LEFT JOIN fates{depth} f
+    ON l.host = f.host AND l.template = f.template AND l.segments[{depth + 1}] = f.segment),"""
+
+
+def _sql_rule(value: int) -> str:
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'"
+        for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    )
+    return f"CASE {cases} END"
+
+
+SQL_URLS = rf"""
+WITH bads AS (
+  SELECT doc_id AS shown, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*).*$', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*).*$', 2) AS path,
+         try_cast(regexp_extract(url, '://[^?#]*?([0-9]+)[^/?#0-9]*/?([?#].*)?$', 1) AS BIGINT) AS shown
+  FROM pages),
+listed AS (
+  SELECT page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS found
+  FROM cut LEFT JOIN bads USING (shown)),
+level0 AS (
+  SELECT page_id, host, path, bad, '' AS template,
+         CASE WHEN len(found) <= {urls.DEPTH} THEN found ELSE list_concat(found[1:{urls.DEPTH}], ['**']) END AS segments
+  FROM listed),{"".join(map(_sql_level, range(urls.DEPTH + 1)))}
+named AS (SELECT * REPLACE (host || template AS template) FROM level{urls.DEPTH + 1}),
+counted AS (
+  SELECT template, count(*) FILTER (bad = 1) AS bads, count(*) FILTER (bad = 0) AS goods FROM named GROUP BY template),
+shares AS (
+  SELECT template, (bads + {urls.SMOOTHING}::DOUBLE * ((sum(bads) OVER ())::DOUBLE / greatest(1, sum(bads) OVER () + sum(goods) OVER ())))
+         / (bads + goods + {urls.SMOOTHING}) AS purity
+  FROM counted)
+SELECT page_id, host, path, {_sql_rule(0)} AS rule,
+       coalesce({_sql_rule(1)}, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+       template, round(purity, 6) AS purity
+FROM named JOIN shares USING (template)"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.document_shards(table(spark, sf_dir, "documents"), SHARDS, seed=2024)
     return placed.select(
@@ -22,6 +102,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(documents, model)
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.thresholds(model)).alias("rejected"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.round(F.element_at(F.filter("positions", lambda p: p.isNotNull()), 1), 9)
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -129,13 +220,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op9_urls": op9_urls,
     "op10_sharding": op10_sharding,
 }
 SQL: dict[str, str] = {
     "op3_mixing": SQL_MIXING,
     "op7_exact_dedup": SQL_EXACT_DEDUP,
+    "op9_urls": SQL_URLS,
 }
