@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing, packing, sharding, simhash, toxicity, urls
+from corpusloom.llm import exact_dedup, mixing, packing, sharding, simhash, sketches, toxicity, urls
 
 SHARDS = 8
 
@@ -194,6 +194,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256",
@@ -223,6 +227,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
+    "op6_sketches": op6_sketches,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
