@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing, packing, sharding, simhash, sketches, toxicity, urls
+from corpusloom.llm import (
+    exact_dedup, mixing, packing, preferences, quality, sharding, simhash, sketches, toxicity, urls,
+)
 
 SHARDS = 8
 
@@ -113,6 +115,60 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is chosen over a worse one: by its number, the last answer turned
+    round, the first answer turned round and nothing after it, or no last answer."""
+    turns = table(spark, sf_dir, "conversations")
+    answer = F.when(F.col("role") == "assistant", F.col("turn"))
+    answers = turns.groupBy(F.col("conv_id").alias("of")).agg(F.min(answer).alias("first"), F.max(answer).alias("last"))
+    met = turns.join(answers, F.col("conv_id") == F.col("of"))
+    kind = F.col("conv_id") % 3
+    at = F.when(kind == 1, F.col("first")).otherwise(F.col("last"))
+    gone = ((kind == 1) & (F.col("turn") > at)) | ((kind == 2) & (F.col("turn") == at))
+    worse = met.where(~F.coalesce(gone, F.lit(False))).withColumn(
+        "text", F.when(F.col("turn") == at, F.reverse("text")).otherwise(F.col("text"))
+    )
+    sides = [rows.select(F.col("conv_id").alias("pair_id"), F.lit(side).alias("side"), "turn", "role", "text")
+             for rows, side in ((turns, "chosen"), (worse, "rejected"))]
+    return preferences.formatted(sides[0].unionByName(sides[1]))
+
+
+SQL_PREFERENCES = """
+WITH answers AS (
+  SELECT conv_id, min(turn) FILTER (role = 'assistant') AS first, max(turn) FILTER (role = 'assistant') AS last
+  FROM conversations GROUP BY conv_id),
+met AS (SELECT *, CASE WHEN conv_id % 3 = 1 THEN first ELSE last END AS cut FROM conversations JOIN answers USING (conv_id)),
+sides AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT conv_id, 'rejected', turn, role, CASE WHEN turn = cut THEN reverse(text) ELSE text END FROM met
+  WHERE NOT coalesce((conv_id % 3 = 1 AND turn > cut) OR (conv_id % 3 = 2 AND turn = cut), false)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS number FROM sides),
+heads AS (
+  SELECT pair_id, coalesce(min(number) FILTER (differs), max(number) + 1)::INT AS common
+  FROM (SELECT pair_id, number, count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text) AS differs
+        FROM numbered GROUP BY pair_id, number)
+  GROUP BY pair_id),
+pieces AS (
+  SELECT *, '<|' || role || '|>' || chr(10) AS header, header || text || '<|end|>' || chr(10) AS piece, number < common AS ahead
+  FROM numbered JOIN heads USING (pair_id)),
+placed AS (
+  SELECT *, coalesce(sum(CASE WHEN ahead THEN 0 ELSE length(piece) END) OVER (
+           PARTITION BY pair_id, side ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM pieces),
+spans AS (
+  SELECT *, CASE WHEN NOT ahead AND role = 'assistant' THEN (start + length(header)) || '-' || (start + length(piece) - 1) END AS span
+  FROM placed)
+SELECT pair_id, any_value(common) AS prompt_turns,
+       coalesce(string_agg(piece, '' ORDER BY number) FILTER (ahead AND side = 'chosen'), '') AS prompt,
+       coalesce(string_agg(piece, '' ORDER BY number) FILTER (NOT ahead AND side = 'chosen'), '') AS chosen,
+       coalesce(string_agg(piece, '' ORDER BY number) FILTER (NOT ahead AND side = 'rejected'), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY number) FILTER (side = 'chosen'), '') AS chosen_spans,
+       coalesce(string_agg(span, ',' ORDER BY number) FILTER (side = 'rejected'), '') AS rejected_spans
+FROM spans GROUP BY pair_id"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.round(F.element_at(F.filter("positions", lambda p: p.isNotNull()), 1), 9)
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -180,6 +236,20 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
        CASE WHEN copies > 0 THEN round({_sql_position()}, 9) END AS first_position
 FROM copied"""
 
+#: Grades from the two labels: 0 low quality and toxic, 1 low quality, 2 toxic, 3 neither.
+GRADES, LEAST_GRADE = 4, 2
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = 2 * F.col("quality") + 1 - F.col("toxic")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    model = quality.train(documents, ratings, GRADES)
+    return quality.graded(documents, model, LEAST_GRADE).select(
+        "doc_id", quality.held_out().alias("held_out"), "expected_grade", "tail_probability", "kept",
+    )
+
+
 WINDOW_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -225,7 +295,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_preferences": op2_preferences,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_sketches": op6_sketches,
     "op7_exact_dedup": op7_exact_dedup,
@@ -234,6 +306,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 SQL: dict[str, str] = {
+    "op2_preferences": SQL_PREFERENCES,
     "op3_mixing": SQL_MIXING,
     "op7_exact_dedup": SQL_EXACT_DEDUP,
     "op9_urls": SQL_URLS,
