@@ -155,14 +155,17 @@ def exact_dedup(documents: DataFrame, arrivals: int = 2) -> DataFrame:
     )
 
 
-def survivors(documents: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `documents` that a table `doc_id, text_key, kept` keeps, one for each
-    of its rows that are true. The texts are not shuffled while the rows to leave
-    out are few (counted); beyond that they join by id."""
-    by = kept.groupBy("doc_id", "text_key").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"),
-    )
-    odd = written(by.where("stay < rows"), "odd")  # left out, or only some of several equal rows kept
+def one_of_each(documents: DataFrame, arrivals: int = 2) -> DataFrame:
+    """`doc_id, text_key, rows, stay` for `survivors`: how many rows there are, and how many stay."""
+    by = exact_dedup(documents, arrivals).groupBy("doc_id", "text_key")
+    return by.agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
+
+
+def survivors(documents: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of `documents` that a table `doc_id, text_key, rows, stay` keeps: all, none or one
+    of the rows with the same id and text. The texts are not shuffled while the rows
+    to leave out are few (counted); beyond that they join by id."""
+    odd = written(decided.where("stay < rows"), "odd")
     keyed = documents.withColumn("_key", text_key())
     right = odd.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_odd"), "stay")
     match = keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_odd"))

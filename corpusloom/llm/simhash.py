@@ -131,21 +131,38 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
 
+def _named(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Tables `doc_id, text_key, fp` of all rows and `fp, least, root` of distinct fingerprints: the
+    smallest id with it, and the fingerprint that names its component."""
+    rows = written(fingerprints(documents, width), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(links(distinct))
+    named = distinct.join(found, distinct.fp == found.node, "left")
+    return rows, written(named.select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+
+
 def near_dedup(documents: DataFrame, width: int = 5) -> DataFrame:
-    """`doc_id, text_key, fingerprint, component_id`, one row per row of `documents`
-    (`doc_id`, `text`, others ignored).
+    """`doc_id, fingerprint, component_id`, one row per row of `documents` (`doc_id`, `text`,
+    others ignored).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text of
     fewer words than `width` is one shingle, and one without words, or null, has
     fingerprint zero and is linked like any other. The component is named by its
     smallest id; null ids count only where there is no other. Repeated rows are
     in one component. An empty table gives an empty result."""
-    rows = written(fingerprints(documents, width), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct))
-    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
+    rows, named = _named(documents, width)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(classes, "fp").select("doc_id", "text_key", digits.alias("fingerprint"), "component_id")
+    return rows.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
+    """`doc_id, text_key, rows, stay` for `exact_dedup.survivors`: of each component the row with the
+    smallest id stays (a null id last); of several rows of that id, the one with the
+    least text key, once."""
+    rows, named = _named(documents, width)
+    each = rows.groupBy("doc_id", "text_key", "fp").agg(F.count(F.lit(1)).alias("rows")).join(named, "fp")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    best = each.groupBy("root").agg(F.min(name).alias("best"))
+    return each.join(best, "root").select("doc_id", "text_key", "rows", (name == F.col("best")).cast("long").alias("stay"))

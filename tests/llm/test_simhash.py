@@ -6,6 +6,7 @@ import random
 import pytest
 
 from corpusloom.llm import queries, simhash
+from corpusloom.llm.exact_dedup import survivors
 from tests.llm.brute import groups
 from tests.llm.brute import simhash as plain_simhash
 
@@ -81,6 +82,11 @@ def test_edges(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
     check(simhash.near_dedup(docs, 5).collect(), docs.collect(), 5)
     assert simhash.near_dedup(docs.limit(0)).collect() == []
+    decided = simhash.one_of_each(docs, 5)
+    stay = survivors(docs, decided).collect()
+    assert sorted(r.doc_id for r in stay if r.doc_id is not None) == [1, 4, 6, 7, 8] and len(stay) == 6
+    bare = docs.where("doc_id IS NULL")
+    assert survivors(bare.unionByName(bare), simhash.one_of_each(bare.unionByName(bare), 5)).count() == 2
 
 
 def test_query(spark, sf_dir):
