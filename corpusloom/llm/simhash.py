@@ -30,6 +30,7 @@ BITS = 64
 SEED = 42
 DISTANCE = 2
 CROWD = 64            # fingerprints in a cell that are still paired
+ROUND_EDGES = 200_000 # in a file of the rounds
 _BLOCK = 1 << 16      # shingles hashed at a time
 _SEGMENTS = range(0, BITS, 4)
 
@@ -122,13 +123,14 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         was = mark
+        parts = -(-mark[0] // ROUND_EDGES)  # stars never have more edges than before
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
+        large = written(large.coalesce(parts), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts), "stars")
 
 
 def _named(documents: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
