@@ -33,5 +33,5 @@ def listing(rows: DataFrame) -> DataFrame:
         "id",
         F.when(F.size("tags") > 0, F.array_join("tags", " · ")).alias("tag_line"),
         "summary",
-        F.date_format(F.to_timestamp("publishedAt"), "M/d/yyyy").alias("published"),
+        F.date_format(F.try_to_timestamp("publishedAt"), "M/d/yyyy").alias("published"),
     )

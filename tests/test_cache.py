@@ -62,3 +62,19 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     batch = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     plan = keyed_upsert(batch, batch, "k", order="v")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_an_entry_without_value_is_no_hit(spark):
+    requests = spark.createDataFrame([("k", START), ("n", START)], "pk string, ts timestamp")
+    entries = spark.createDataFrame([("k", "v", 2**40), ("n", None, 2**40)], "pk string, value string, ttl long")
+    assert {r.pk: (r.cached, r.value) for r in cache.lookup(requests, entries).collect()} == {"k": (True, "v"), "n": (False, None)}
+
+
+def test_covered(spark):
+    hour = timedelta(hours=1)
+    misses = spark.createDataFrame([("k", START, 5), ("k", START + 50 * hour, 6), ("o", START, 7)], "key string, ts timestamp, request_id long")
+    asked = [("k", START, 4), ("k", START, 6), ("k", START + 47 * hour, 8), ("k", START + 48 * hour, 9), ("k", START + 97 * hour, 10),
+             ("k", START - hour, 11), ("x", START, 12), ("o", START + hour, 13)]
+    rows = spark.createDataFrame(asked, "key string, ts timestamp, request_id long")
+    found = {r.request_id: r.hit for r in cache.covered(rows, misses).collect()}
+    assert found == {4: False, 6: True, 8: True, 9: False, 10: True, 11: False, 12: False, 13: True}

@@ -76,7 +76,7 @@ def test_chat(spark, chunks):
         (1, "s", "Tiny  machines", t), (2, "s", "tiny machines ", t + timedelta(hours=1)),
         (3, "s", "", t), (4, None, "x", t), (5, "s", None, t),
         (6, "s", "tiny machines", t + timedelta(hours=50)), (7, "s", "stored?", t), (8, "s", "stored?", t + timedelta(hours=2)),
-        (9, "s", "  ", t),
+        (9, "s", "  ", t), (10, "s", "", t + timedelta(hours=1)), (11, "s", "", t + timedelta(hours=48)),
     ]
     requests = spark.createDataFrame(rows, schemas.CHAT_REQUEST)
     key = spark.range(1).select(cache_key(F.lit("stored?"))).first()[0]
@@ -86,15 +86,24 @@ def test_chat(spark, chunks):
     found = {r.request_id: r for r in result.responses.collect()}
     assert {i: r.outcome for i, r in found.items()} == {
         1: "computed", 2: "cache_hit", 3: "embed_rejected", 4: "invalid", 5: "invalid",
-        6: "computed", 7: "cache_hit", 8: "computed", 9: "computed"}
+        6: "computed", 7: "cache_hit", 8: "computed", 9: "computed", 10: "cache_hit", 11: "embed_rejected"}
+    assert found[10].answer == found[9].answer and found[10].cached
     assert found[7].answer == "kept" and found[8].answer != "kept"
     assert found[1].answer == found[2].answer and found[1].answer.startswith("Found 3 relevant snippets")
     assert found[1].sources[0].title == "Project" and found[1].sources[0].rerank_score >= 2
-    assert result.log.count() == 7
+    assert result.log.count() == 9
     entries = {r.pk: r for r in result.entries.collect()}
     assert len(entries) == 3 and entries[key].ttl == int(t.timestamp()) + 2 * 3600 + 48 * 3600
 
 
+def test_listing_survives_a_bad_date(spark):
+    from corpusloom.operators import catalog
+
+    rows = spark.createDataFrame([("a", ["x"], "", "2024-03-05"), ("b", [], "", "soon"), ("c", [], "", None)],
+                                 "id string, tags array<string>, summary string, publishedAt string")
+    assert {r.id: r.published for r in catalog.listing(rows).collect()} == {"a": "3/5/2024", "b": None, "c": None}
+
+
 def test_messages(spark):
     rows = spark.createDataFrame([("q", [("S1", "t", "x")]), ("q", [])],
                                  "m string, s array<struct<id:string,title:string,text:string>>")

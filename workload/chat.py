@@ -22,7 +22,7 @@ from workload.ingest import SQL_PLAIN, sql_chunks, sql_embedding, sql_strip, sub
 from workload.retrieval import SQL as RETRIEVAL_SQL
 from workload.retrieval import (
     JS, SCORED, SQL_CANDIDATES, SQL_OVERLAP_WORDS, SQL_SNIPPET, boosted_hits, sql_boosted,
-    sql_js_strip, sql_scores,
+    sql_js_strip, sql_scores, text_questions,
 )
 
 TTL_SECONDS = 48 * 3600
@@ -97,15 +97,15 @@ def question_keys(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    """A cache filled by every valid request, for 12 hours, then by those with a
-    short message once more, for 48."""
+    """A cache filled by every valid request, for 12 hours, then by every other one, by
+    its first letter, once more, for 48."""
     requests = I.chat_requests(spark, sf_dir).where(chat_log.valid_request())
     rows = requests.select(
         Q.cache_key(F.col("message")).alias("pk"), F.struct(F.col("message").alias("answer")).alias("value"),
-        "ts", F.length("message").alias("n_chars"),
+        "ts", (F.ascii("message") % 2 == 1).alias("again"),
     )
     short = cache.cache_entries(rows, ttl_hours=12)
-    later = rows.where(F.col("n_chars") < 150).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
+    later = rows.where("again").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
     return cache.put(cache.put(short.where("false"), short), cache.cache_entries(later))
 
 
@@ -155,12 +155,15 @@ def prompts(spark, sf_dir):
 
 
 def _snippets(spark, sf_dir):
-    """Snippets of the biased questions; the others have none."""
+    """The questions with their snippets, and each once more with none."""
     questions = I.vector_questions(spark, sf_dir)
     found = R.snippets(boosted_hits(spark, sf_dir))
-    rows = questions.select("q_id", "message", "bias").join(found, "q_id", "left")
+    rows = questions.select(F.col("q_id").cast("string").alias("q_id"), "message").join(
+        found.withColumn("q_id", F.col("q_id").cast("string")), "q_id", "left"
+    )
     none = F.array().cast(rows.schema["snippets"].dataType)
-    return rows.withColumn("snippets", F.when(F.col("bias"), F.col("snippets")).otherwise(none))
+    bare = F.struct(F.concat("q_id", F.lit("-bare")).alias("q_id"), "message", none.alias("snippets"))
+    return rows.select(F.explode(F.array(F.struct("q_id", "message", "snippets"), bare)).alias("r")).select("r.*")
 
 
 def snippet_blocks(spark, sf_dir):
@@ -174,11 +177,12 @@ def chat_messages(spark, sf_dir):
 
 
 def echoing_generator():
-    """A small model for the generator slot: the end of the prompt; fails on long ones."""
+    """A small model for the generator slot: the end of the prompt; fails on every fifth
+    prompt, by how often it has an e."""
     import numpy as np
 
     def predict(prompts):
-        return np.array([p[-40:] if p and len(p) < 3000 else None for p in prompts], dtype=object)
+        return np.array([p[-40:] if p and p.count("e") % 5 else None for p in prompts], dtype=object)
 
     return predict
 
@@ -208,16 +212,26 @@ def answer_sources(spark, sf_dir):
     )
 
 
+STORED_UNTIL = 1704110400  # 2024-01-01 12:00, between the two times a question is asked
+SOURCES = (
+    "array<struct<id: string, title: string, url: string, content: string, preview: string, "
+    "similarity: double, rerank_score: double>>"
+)
+
+
 def _chat(spark, sf_dir):
+    """Against a cache that holds every other question, by its first letter, for a while."""
     chunks = I.embedded_chunks(spark, sf_dir)
     requests = I.chat_requests(spark, sf_dir)
-    stored = spark.createDataFrame(
-        [], "pk string, value struct<answer: string, sources: array<struct<id: string, title: string, "
-        "url: string, content: string, preview: string, similarity: double, rerank_score: double>>>, "
-        "ttl bigint, createdAt timestamp"
+    known = requests.where(chat_log.valid_request() & (F.ascii("message") % 2 == 1))
+    answers = known.groupBy(Q.cache_key(F.col("message")).alias("pk")).agg(F.min("message").alias("message"))
+    value = F.struct(F.concat(F.lit("stored "), "message").alias("answer"), F.array().cast(SOURCES).alias("sources"))
+    stored = answers.select(
+        "pk", value.alias("value"), F.lit(STORED_UNTIL).cast("bigint").alias("ttl"), F.timestamp_seconds(F.lit(0)).alias("createdAt"),
     )
     unique = F.col("request_id").cast("string")
-    return chat(requests, chunks, stored, use_rerank=True, unique=unique)
+    generator = answer_generator(echoing_generator, batch_size=8)
+    return chat(requests, chunks, stored, use_rerank=True, generator=generator, unique=unique)
 
 
 def chat_responses(spark, sf_dir):
@@ -242,12 +256,11 @@ def _stream(spark, sf_dir, name):
 def chat_log_stream(spark, sf_dir):
     """User turns as a stream into the log."""
     rows = _stream(spark, sf_dir, "conversations")
-    number = F.col("conv_id") * 100 + F.col("turn")
     requests = rows.select(
-        number.alias("request_id"),
+        I.turn_id().alias("request_id"),
         F.when(F.col("role") == "user", F.col("conv_id").cast("string")).alias("session_id"),
         F.col("text").alias("message"),
-        F.timestamp_seconds(F.lit(1704067200) + number).alias("ts"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn")).alias("ts"),
     )
     path, state = new_dir(spark, "log"), new_dir(spark, "state")
     log_stream(requests, path, state, unique=F.col("request_id").cast("string")).awaitTermination()
@@ -272,12 +285,7 @@ def cache_stream(spark, sf_dir):
 def retrieve_stream_rows(spark, sf_dir):
     """User turns as a stream of questions over the embedded chunks of all documents."""
     chunks = I.embedded_chunks(spark, sf_dir)
-    rows = _stream(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    requests = rows.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("q_id"),
-        F.lit("").alias("q"),
-        F.when(F.col("turn") != 2, F.col("text")).alias("query"),
-    )
+    requests = text_questions(_stream(spark, sf_dir, "conversations"))
     path, state = new_dir(spark, "snippets"), new_dir(spark, "state")
     retrieve_stream(requests, chunks, path, state).awaitTermination()
     found = spark.read.parquet(path)
@@ -314,11 +322,13 @@ writes AS (
   SELECT pk, message AS answer, ts, epoch_us(ts) // 1000000 + 43200 AS ttl, 0 AS turn FROM requests
   UNION ALL
   SELECT pk, message, ts, epoch_us(ts) // 1000000 + 1 + {TTL_SECONDS}, 1
-  FROM requests WHERE length(message) < 150),
+  FROM requests WHERE message <> '' AND unicode(message) % 2 = 1),
 stored AS MATERIALIZED (
   SELECT pk, answer, ttl FROM writes
   QUALIFY row_number() OVER (PARTITION BY pk ORDER BY turn DESC, ts DESC) = 1)"""
 
+SQL_GENERATES = "(length({p}) - length(replace({p}, 'e', ''))) % 5 <> 0"
+
 SQL_SOURCES = f"""
 {SQL_CANDIDATES},
 contexts AS MATERIALIZED (
@@ -336,35 +346,48 @@ blocks AS MATERIALIZED (
   SELECT q_id, string_agg('[' || id || '] ' || title || ' — ' || text, chr(10) ORDER BY rank) AS lines
   FROM snips GROUP BY q_id),
 parts AS MATERIALIZED (
-  SELECT q_id, coalesce(message, '') AS message,
-         CASE WHEN bias THEN '{A.CONTEXT_HEADER}' || chr(10) || lines ELSE '' END AS block
-  FROM scored_q LEFT JOIN blocks USING (q_id))"""
+  SELECT q_id::VARCHAR AS q_id, coalesce(message, '') AS message, '{A.CONTEXT_HEADER}' || chr(10) || lines AS block
+  FROM scored_q LEFT JOIN blocks USING (q_id)
+  UNION ALL
+  SELECT q_id || '-bare', coalesce(message, ''), '' FROM scored_q)"""
 
 SQL_CHAT = f"""
 WITH {sql_chunks(SQL_PLAIN, 600, 50)},
 requests AS MATERIALIZED (
   SELECT *, {SQL_KEY} AS pk, {SQL_VALID} AS valid FROM ({I.SQL_CHAT_REQUESTS})),
+stored AS MATERIALIZED (
+  SELECT pk, 'stored ' || min(message) AS stored FROM requests
+  WHERE valid AND message <> '' AND unicode(message) % 2 = 1 GROUP BY pk),
+looked AS MATERIALIZED (
+  SELECT r.*, CASE WHEN {STORED_UNTIL} > epoch_us(ts) / 1000000 THEN stored END AS stored
+  FROM requests r LEFT JOIN stored s ON valid AND r.pk = s.pk),
 earliest AS MATERIALIZED (
   SELECT pk AS q_id, arg_min(message, (ts, request_id)) AS message
-  FROM requests WHERE valid AND message <> '' GROUP BY pk),
+  FROM looked WHERE valid AND message <> '' AND stored IS NULL GROUP BY pk),
 {sql_embedding("SELECT content AS text FROM chunked UNION ALL SELECT message FROM earliest", 384)},
 vec_q AS (SELECT q_id, message, vec AS qvec FROM earliest JOIN embedded ON message = embedded.text),
 vec_c AS (SELECT chunk_id, title, url, content, section, vec AS embedding
           FROM chunked JOIN embedded ON content = embedded.text),
 {sql_scores('SELECT * FROM vec_q', 'SELECT * FROM vec_c')},
 candidates AS MATERIALIZED (
-  SELECT s.q_id, s.rank, chunk_id AS id, title, substr(coalesce(content, ''), 1, 220) AS preview,
+  SELECT s.q_id, s.rank, chunk_id AS id, title, content, substr(coalesce(content, ''), 1, 220) AS preview,
          len(list_intersect({SQL_OVERLAP_WORDS.format(c='q.message')}, {SQL_OVERLAP_WORDS.format(c='c.content')})) AS score
   FROM scored s JOIN scored_c c USING (chunk_id) JOIN scored_q q ON q.q_id = s.q_id WHERE s.rank <= 8),
 best AS MATERIALIZED (
-  SELECT q_id, id, title, preview, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, candidates.rank) AS rank
+  SELECT q_id, id, title, content, preview, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, candidates.rank) AS rank
   FROM candidates),
-answers AS MATERIALIZED (
-  SELECT q_id AS pk,
-         'Found 12 relevant snippets (generator fallback).' || chr(10) || {sql_lines(SQL_FALLBACK_LINE, 4)} AS answer,
-         string_agg(id, ',' ORDER BY rank) FILTER (WHERE rank <= 4) AS source_ids
+shown AS MATERIALIZED (
+  SELECT q_id, 'Found 12 relevant snippets (generator fallback).' || chr(10) || {sql_lines(SQL_FALLBACK_LINE, 4)} AS fallback,
+         {sql_lines(SQL_CONTEXT_LINE, 4)} AS four, string_agg(id, ',' ORDER BY rank) FILTER (WHERE rank <= 4) AS source_ids
   FROM best GROUP BY q_id),
-{sql_replay("SELECT pk AS key, ts, request_id FROM requests WHERE valid AND message <> ''")}"""
+prompted AS MATERIALIZED (
+  SELECT q_id, question, fallback, source_ids, {SQL_PROMPT('question', 'four')} AS prompt
+  FROM (SELECT *, {sql_strip("message")} AS question FROM shown JOIN earliest USING (q_id))),
+answers AS MATERIALIZED (
+  SELECT q_id AS pk, source_ids,
+         CASE WHEN question <> '' AND {SQL_GENERATES.format(p='prompt')} THEN right(prompt, 40) ELSE fallback END AS answer
+  FROM prompted),
+{sql_replay("SELECT pk AS key, ts, request_id FROM looked WHERE valid AND message <> '' AND stored IS NULL")}"""
 
 SQL = {
     "request_validation": f"SELECT request_id, ({SQL_VALID}) AS valid FROM ({I.SQL_CHAT_REQUESTS})",
@@ -395,17 +418,18 @@ SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY m.o) - 1)::INT AS po
 FROM messages WHERE m.content <> ''""",
     "generated_answers": f"""
 {SQL_SOURCES}
-SELECT q_id, CASE WHEN question <> '' AND length(prompt) < 3000 THEN right(prompt, 40) ELSE fallback END AS answer,
+SELECT q_id, CASE WHEN question <> '' AND {SQL_GENERATES.format(p='prompt')} THEN right(prompt, 40) ELSE fallback END AS answer,
        6 AS n_sources FROM prompted""",
     "fallback_answers": f"{SQL_SOURCES} SELECT q_id, fallback AS answer FROM contexts",
     "answer_sources": f"{SQL_CANDIDATES} SELECT q_id, (rank - 1)::INT AS pos, id, title, similarity FROM candidates WHERE rank <= 6",
     "chat_responses": f"""
 {SQL_CHAT}
 SELECT r.request_id,
-       CASE WHEN NOT valid THEN 'invalid' WHEN message = '' THEN 'embed_rejected'
+       CASE WHEN NOT valid THEN 'invalid' WHEN stored IS NOT NULL THEN 'cache_hit' WHEN message = '' THEN 'embed_rejected'
             WHEN hit THEN 'cache_hit' ELSE 'computed' END AS outcome,
-       coalesce(hit, false) AS cached, answer, source_ids
-FROM requests r LEFT JOIN replayed p ON p.request_id = r.request_id
+       coalesce(hit, stored IS NOT NULL) AS cached, coalesce(stored, answer) AS answer,
+       CASE WHEN stored IS NOT NULL THEN '' ELSE source_ids END AS source_ids
+FROM looked r LEFT JOIN replayed p ON p.request_id = r.request_id
 LEFT JOIN answers a ON p.request_id IS NOT NULL AND a.pk = r.pk""",
     "chat_cache_entries": f"""
 {SQL_CHAT}
@@ -414,7 +438,7 @@ FROM replayed JOIN answers ON pk = key WHERE NOT hit GROUP BY key""",
     "chat_log_stream": f"""
 SELECT 'CHAT#' || session_id AS PK, {SQL_ISO} || '#' || request_id AS SK, 'chat' AS type,
        'user' AS role, message, {SQL_ISO} AS createdAt
-FROM (SELECT conv_id * 100 + turn AS request_id, conv_id::VARCHAR AS session_id, text AS message,
+FROM (SELECT {I.SQL_TURN_ID} AS request_id, conv_id::VARCHAR AS session_id, text AS message,
         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 100 + turn) AS ts
       FROM conversations WHERE role = 'user')""",
     "retrieve_stream": RETRIEVAL_SQL["retrieve_requests"],

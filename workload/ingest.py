@@ -172,7 +172,7 @@ def sql_html(c: str) -> str:
 
 def sql_markdown(c: str) -> str:
     nl = "' || chr(10) || '"
-    c = sub(c, r"(?m)^[ ]{0,3}(```|~~~)[^\n]*$", "")
+    c = sub(c, r"(?m)^[ ]{0,3}(```+|~~~+)[ \t]*", "")
     c = sub(c, r"(?m)^[ ]{0,3}(#{1,6})[ \t]+", "")
     c = sub(c, r"(?m)[ \t]+#+[ \t]*$", "")
     c = sub(c, r"(?m)^[ ]{0,3}((\*[ \t]*){3,}|(-[ \t]*){3,}|(_[ \t]*){3,})$", "")
@@ -181,8 +181,8 @@ def sql_markdown(c: str) -> str:
     c = sub(c, r"!\[[^\]\n]*\]\([^)\n]*\)", nl)
     c = sub(c, r"\[([^\]\n]+)\]\([^)\n]*\)", rf"{nl}\1{nl}")
     c = sub(c, r"`([^`\n]+)`", rf"{nl}\1{nl}")
-    c = sub(c, r"\*\*([^*\n]+)\*\*", rf"{nl}\1{nl}")
-    return sub(c, r"\*([^*\n]+)\*", rf"{nl}\1{nl}")
+    c = sub(c, r"\*\*([^\s*](?:[^*\n]*[^\s*])?)\*\*", rf"{nl}\1{nl}")
+    return sub(c, r"\*([^\s*](?:[^*\n]*[^\s*])?)\*", rf"{nl}\1{nl}")
 
 
 # ---- SQL form of the default embedding ---------------------------------------
@@ -332,7 +332,7 @@ def key_columns(spark, sf_dir):
     return I.documents(spark, sf_dir).select(
         "doc_id", T.doc_type(key).alias("section"), T.title_from_key(key).alias("title"),
         T.url_from_base("https://example.org", key).alias("url"),
-        T.chunk_id(key, F.col("doc_id").cast("int")).alias("chunk_id"),
+        T.chunk_id(key, F.col("doc_id")).alias("chunk_id"),
     )
 
 
@@ -359,7 +359,7 @@ def chunk_upsert(spark, sf_dir):
     """The store holds every vector, and each once more as an old chunk. The batch
     brings every vector anew, twice, and each as a new chunk."""
     store = I.vector_store(spark, sf_dir)
-    number = F.substring("chunk_id", 2, 8).cast("bigint")
+    number = F.expr("substring(chunk_id, 2)").cast("bigint")
 
     def renamed(rows, prefix):
         return rows.withColumn("chunk_id", F.concat(F.lit(prefix), "chunk_id"))

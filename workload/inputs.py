@@ -5,7 +5,7 @@ Each pair derives the same rows. All rows of a table take part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import quantize
@@ -59,7 +59,7 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("section_"), F.col("label").cast("string")))
     )
     return rows.select(
-        F.concat(F.lit("v"), F.lpad(number, 8, "0")).alias("chunk_id"),
+        F.format_string("v%08d", "vec_id").alias("chunk_id"),
         F.when(F.col("vec_id") % 7 == 0, "").otherwise(F.concat("source", F.lit(" "), number)).alias("title"),
         F.when(F.col("vec_id") % 5 == 0, "")
         .otherwise(F.concat(F.lit("https://example.org/"), number)).alias("url"),
@@ -72,7 +72,7 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_QUANTIZED = "list_transform({v}, lambda x: round_even(x::DOUBLE, 6)::FLOAT)"
 
 SQL_VECTOR_STORE = f"""
-SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS chunk_id,
+SELECT printf('v%08d', vec_id) AS chunk_id,
        CASE WHEN vec_id % 7 = 0 THEN '' ELSE source || ' ' || vec_id END AS title,
        CASE WHEN vec_id % 5 = 0 THEN '' ELSE 'https://example.org/' || vec_id END AS url,
        text AS content,
@@ -106,20 +106,27 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(embed(chunks, "content"), "embedded")
 
 
+def turn_id() -> Column:
+    """A name for a turn, whatever the number of turns of a conversation."""
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+
+SQL_TURN_ID = "conv_id || '-' || turn"
+
+
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of the conversations as requests. Assistant turns have no session,
     so they are invalid; each user turn comes a second time a day later, with
     other blanks and case, so that the cache has something to hit."""
     rows = table(spark, sf_dir, "conversations")
-    number = F.col("conv_id") * 100 + F.col("turn")
-    start = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + number)
+    start = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("conv_id") * 100 + F.col("turn"))
     session = F.when(F.col("role") == "user", F.col("conv_id").cast("string"))
     first = rows.select(
-        (number * 2).alias("request_id"), session.alias("session_id"),
+        turn_id().alias("request_id"), session.alias("session_id"),
         F.col("text").alias("message"), start.alias("ts"),
     )
     again = first.where(F.col("session_id").isNotNull()).select(
-        (F.col("request_id") + 1).alias("request_id"), "session_id",
+        F.concat("request_id", F.lit("-again")).alias("request_id"), "session_id",
         F.concat(F.lit(" "), F.translate(F.replace("message", F.lit(" "), F.lit("  ")), LOWER, UPPER)).alias("message"),
         (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
     )
@@ -128,14 +135,14 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CHAT_REQUESTS = f"""
 WITH firsts AS (
-  SELECT (conv_id * 100 + turn) * 2 AS request_id,
+  SELECT {SQL_TURN_ID} AS request_id,
          CASE WHEN role = 'user' THEN conv_id::VARCHAR END AS session_id,
          text AS message,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 100 + turn) AS ts
   FROM conversations)
 SELECT * FROM firsts
 UNION ALL
-SELECT request_id + 1, session_id, ' ' || translate(replace(message, ' ', '  '), '{LOWER}', '{UPPER}'),
+SELECT request_id || '-again', session_id, ' ' || translate(replace(message, ' ', '  '), '{LOWER}', '{UPPER}'),
        ts + INTERVAL 1 DAY
 FROM firsts WHERE session_id IS NOT NULL"""
 

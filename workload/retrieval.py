@@ -98,7 +98,7 @@ def blank_question_gate(spark, sf_dir):
     rows = I.table(spark, sf_dir, "conversations")
     user = F.col("role") == "user"
     requests = rows.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("q_id"),
+        I.turn_id().alias("q_id"),
         F.when(user, F.concat(F.lit(" "), "text", F.lit("\n"))).otherwise(F.lit("")).alias("q"),
         F.when(F.col("turn") == 1, F.lit(" \t")).when(~user, F.col("text")).alias("query"),
     )
@@ -157,11 +157,12 @@ def _reranked(**options):
 
 
 def length_scorer():
-    """A small model for the scorer slot; no score for the longest messages."""
+    """A small model for the scorer slot; no score for some messages, by their first letter."""
     import numpy as np
 
     def predict(messages, contents):
-        scores = [-abs(len(m) - len(c)) / 8 if len(m) < 4000 else np.nan for m, c in zip(messages, contents)]
+        fails = [bool(m) and ord(m[0]) % 7 == 0 for m in messages]
+        scores = [np.nan if f else -abs(len(m) - len(c)) / 8 for f, m, c in zip(fails, messages, contents)]
         return np.array(scores, dtype=np.float64)
 
     return predict
@@ -175,26 +176,28 @@ def model_reranked(spark, sf_dir):
 
 
 def chit_chat_gate(spark, sf_dir):
-    """Turns as they are, with a greeting before them, or cut to their first word."""
+    """Turns as they are, or with a greeting before them that counts, or does not."""
     rows = I.table(spark, sf_dir, "conversations")
     text = (
-        F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" Good  Morning"), F.substring("text", 1, 1)))
-        .when(F.col("turn") % 3 == 1, F.concat(F.lit("Hey "), "text"))
-        .otherwise(F.substring_index("text", " ", 1))
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit(" Good  Morning "), "text"))
+        .when(F.col("turn") % 4 == 1, F.concat(F.lit("Hey "), "text"))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit("Heyday "), "text"))
+        .otherwise(F.col("text"))
     )
     return rows.select("conv_id", "turn", Q.chit_chat(text).alias("chit_chat"))
 
 
+def text_questions(turns):
+    asked = turns.where(F.col("role") == "user").select(I.turn_id().alias("q_id"), F.lit("").alias("q"), F.col("text").alias("query"))
+    blank = F.struct(F.concat("q_id", F.lit("-blank")).alias("q_id"), F.lit(" ").alias("q"), F.lit(None).cast("string").alias("query"))
+    return asked.select(F.explode(F.array(F.struct("q_id", "q", "query"), blank)).alias("r")).select("r.*")
+
+
 def retrieve_requests(spark, sf_dir):
-    """User turns as text questions, over the embedded chunks of all documents."""
+    """User turns as text questions, and a blank one beside each, over the embedded
+    chunks of all documents."""
     chunks = I.embedded_chunks(spark, sf_dir)
-    rows = I.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    requests = rows.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("q_id"),
-        F.lit("").alias("q"),
-        F.when(F.col("turn") != 2, F.col("text")).alias("query"),
-    )
-    found = retrieve(requests, chunks)
+    found = retrieve(text_questions(I.table(spark, sf_dir, "conversations")), chunks)
     return found.select("q_id", F.explode_outer("snippets").alias("s")).select(
         "q_id", "s.id", "s.title", "s.section", "s.text", F.round("s.score", 3).alias("score")
     )
@@ -253,7 +256,7 @@ FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1""",
     },
     "blank_question_gate": f"""
 WITH requests AS (
-  SELECT conv_id * 100 + turn AS q_id,
+  SELECT {I.SQL_TURN_ID} AS q_id,
          CASE WHEN role = 'user' THEN ' ' || text || chr(10) ELSE '' END AS q,
          CASE WHEN turn = 1 THEN ' ' || chr(9) WHEN role <> 'user' THEN text END AS query
   FROM conversations)
@@ -279,19 +282,19 @@ FROM (SELECT doc_id, replace(replace(text, ' ', ' ' || chr(10)), '.', ' http : /
     "reranked_candidates": sql_reranked(
         f"len(list_intersect({SQL_OVERLAP_WORDS.format(c='q.message')}, {SQL_OVERLAP_WORDS.format(c='c.content')}))::DOUBLE"),
     "model_reranked_candidates": sql_reranked(
-        "CASE WHEN length(coalesce(q.message, '')) < 4000 THEN "
+        "CASE WHEN coalesce(q.message, '') = '' OR unicode(q.message) % 7 <> 0 THEN "
         "-abs(length(coalesce(q.message, '')) - length(coalesce(c.content, '')))::DOUBLE / 8 END"),
     "rerank_bypass": f"{SQL_CANDIDATES} SELECT q_id, rank, id, similarity, NULL::DOUBLE AS rerank_score FROM candidates",
     "chit_chat_gate": f"""
 SELECT conv_id, turn, {sql_chit_chat('t')} AS chit_chat
-FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' Good  Morning' || text[1]
-        WHEN 1 THEN 'Hey ' || text ELSE string_split(text, ' ')[1] END AS t FROM conversations)""",
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ' Good  Morning ' || text
+        WHEN 1 THEN 'Hey ' || text WHEN 2 THEN 'Heyday ' || text ELSE text END AS t FROM conversations)""",
     "retrieve_requests": f"""
 WITH {sql_chunks(SQL_PLAIN, 600, 50)},
 requests AS (
-  SELECT conv_id * 100 + turn AS q_id,
-         {sql_js_strip("CASE WHEN turn <> 2 THEN text ELSE '' END")} AS question
-  FROM conversations WHERE role = 'user'),
+  SELECT {I.SQL_TURN_ID} AS q_id, {sql_js_strip("text")} AS question FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT {I.SQL_TURN_ID} || '-blank', '' FROM conversations WHERE role = 'user'),
 {sql_embedding("SELECT content AS text FROM chunked UNION ALL SELECT question FROM requests WHERE question <> ''", 384)},
 vec_q AS (SELECT DISTINCT question AS q_id, vec AS qvec, regexp_matches(question, '{SQL_INTENT}') AS bias
           FROM requests JOIN embedded ON question = embedded.text),
