@@ -217,13 +217,14 @@ def top_k(
     # Counted without the vectors, and measured on one of them: neither makes the
     # vectors of all questions. Questions without one are dropped where they are
     # read; a filter here would be pushed below the embedding and repeat it.
-    n = questions.count()
+    id_bytes = F.octet_length(F.col("q_id").cast("string"))
+    n, id_bytes = questions.agg(F.count(F.lit(1)), F.coalesce(F.max(id_bytes), F.lit(0))).first()
     questions = questions.select("q_id", "qvec")
     first = questions.select(F.size("qvec")).first()
     width = first[0] if first and (first[0] or 0) > 0 else ASSUMED_WIDTH
     chunks = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     schema = _candidates_schema(questions.schema["q_id"].dataType)
-    if n * (4 * width + 64) <= broadcast_bytes:
+    if n * (4 * width + 64 + id_bytes) <= broadcast_bytes:
         found = _scan(questions, chunks, k, schema)
     else:
         found = _tiles(questions, chunks, k, schema, n, chunks.count())
@@ -234,7 +235,7 @@ def top_k(
     ranked = ranked.select("q_id", "rank", "chunk_id", "similarity")
     # At most k rows per question: where these are few enough, the joins to come
     # scan the other side in place; else they shuffle.
-    return F.broadcast(ranked) if n * k * HIT_BYTES <= broadcast_bytes else ranked
+    return F.broadcast(ranked) if n * k * (HIT_BYTES + id_bytes) <= broadcast_bytes else ranked
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:

@@ -70,6 +70,21 @@ def test_rerank_ties_and_failure(spark):
     assert R.rerank(candidates, questions, enabled=False).count() == 12
 
 
+def test_models_that_throw(spark):
+    from corpusloom.operators.embedding import answer_generator
+
+    def scorer():
+        return lambda ms, cs: np.array([1.0 / int(m != "bad") for m in ms])
+
+    def generator(max_new_tokens):
+        return lambda ps: np.array([p[:max_new_tokens] + str(1 // int(p != "bad")) for p in ps], dtype=object)
+
+    rows = spark.createDataFrame([("good", "x"), ("bad", "x")], "m string, c string").coalesce(1)
+    score, write = pair_scorer(scorer, batch_size=1), answer_generator(generator, max_new_tokens=2)
+    found = rows.select("m", score(F.col("m"), F.col("c")).alias("s"), write(F.col("m")).alias("a")).collect()
+    assert {r.m: (r.s, r.a) for r in found} == {"good": (1.0, "go1"), "bad": (None, None)}
+
+
 def test_chat(spark, chunks):
     t = datetime(2024, 1, 1)
     rows = [
