@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Also where an aggregation on the join key follows and needs a shuffle then.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Long texts cross to Python in batches of moderate size.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Keyed stream state lives on local disk with changelogs in the checkpoint.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
