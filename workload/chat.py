@@ -267,9 +267,19 @@ def chat_log_stream(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+STREAM_PARTS = 4
+
+
 def cache_stream(spark, sf_dir):
-    """Events as a stream of requests, against expiry times kept as keyed state."""
-    rows = _stream(spark, sf_dir, "events").select(
+    """Events as a stream of requests, against expiry times kept as keyed state. They
+    come in several micro-batches, a week each, so that later ones meet the state
+    that the earlier ones left."""
+    events, source = I.table(spark, sf_dir, "events"), new_dir(spark, "events")
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(STREAM_PARTS - 1))
+    for part in range(STREAM_PARTS):  # a file each, one after the other
+        events.where(week == part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = stream.select(
         F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("key"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("request_id"),
