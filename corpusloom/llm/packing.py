@@ -30,9 +30,10 @@ from corpusloom.llm.words import blocks, words_of
 
 TIERS = (2048, 1024, 512, 256, 128)
 END_ID = 1
-GROUP_TOKENS = 1 << 22   # tokens of the documents packed together, about
+GROUP_TOKENS = 1 << 20   # tokens of the documents packed together, about
+BLOCK_BYTES = 4 << 20    # of text encoded at a time
 STEP_TOKENS = 1 << 16    # padded tokens of a training step
-CACHED_PARTS = 400_000   # of words, remembered by a task
+CACHED_PARTS = 150_000   # of words, remembered by a task
 _JOINED = 2000           # plain words encoded at a time
 _PLAIN = "[A-Za-z0-9À-ÖØ-öø-ÿ]"
 
@@ -261,7 +262,7 @@ def packed(documents: DataFrame, tokenizer: str, with_ids: bool = True) -> DataF
         sequence = step = TaskContext.get().partitionId() << 32
         doc_ids, ids, counts, held = [], [], [], 0
         for batch in batches:
-            for block in blocks(batch, 1):
+            for block in blocks(batch, 1, BLOCK_BYTES):
                 found, sizes = encoder.encode(block.column(1))
                 doc_ids.append(block.column(0))
                 ids.append(found)

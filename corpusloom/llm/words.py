@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut into words at a time; one text is never cut.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,13 @@ def words_of(texts: pa.Array) -> Words:
     )
 
 
-def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about BLOCK_BYTES of text."""
+def blocks(batch: pa.RecordBatch, column: int, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `size` bytes of text. What Arrow holds on to for later
+    is given back after each batch: workers stay while others run."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    block = np.cumsum(sizes) // BLOCK_BYTES
+    block = np.cumsum(sizes) // size
     starts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(sizes)]]).astype(int)
     for first, end in zip(starts[:-1], starts[1:]):
         if end > first:
             yield batch.slice(first, end - first)
+    pa.default_memory_pool().release_unused()
