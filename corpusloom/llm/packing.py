@@ -31,7 +31,7 @@ from corpusloom.llm.words import blocks, words_of
 TIERS = (2048, 1024, 512, 256, 128)
 END_ID = 1
 GROUP_TOKENS = 1 << 20   # tokens of the documents packed together, about
-BLOCK_BYTES = 4 << 20    # of text encoded at a time
+BLOCK_BYTES = 3 << 20    # of text encoded at a time, at least
 STEP_TOKENS = 1 << 16    # padded tokens of a training step
 CACHED_PARTS = 150_000   # of words, remembered by a task
 _JOINED = 2000           # plain words encoded at a time
@@ -48,11 +48,11 @@ class WordTokens:
     are far fewer of either than of both together. Each part is encoded once and
     remembered; the plain ones many at a time, with a stop between them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_parts: int = CACHED_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer, self._most = Tokenizer.from_file(path), cached_parts
         (self._stop,) = self._encode(".")
         self._forget()
 
@@ -80,7 +80,7 @@ class WordTokens:
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one after the other, and the count of each."""
-        if len(self._known) > CACHED_PARTS:
+        if len(self._known) > self._most:
             self._forget()
         head = pc.utf8_rtrim(words, characters=string.punctuation)
         plain = pc.match_substring_regex(head, f"^{_PLAIN}+$")
@@ -225,13 +225,30 @@ def steps(sizes: np.ndarray) -> np.ndarray:
     return step
 
 
-def packed(documents: DataFrame, tokenizer: str, with_ids: bool = True) -> DataFrame:
+def _gathered_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones together until they have `size` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def packed(
+    documents: DataFrame, tokenizer: str, with_ids: bool = True,
+    block_bytes: int = BLOCK_BYTES, cached_parts: int = CACHED_PARTS,
+) -> DataFrame:
     """`doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens,
     step`, and `ids` on request: one row per piece of a document (`doc_id`, `text`,
     others ignored).
 
     `tokenizer` is the path of a tokenizer file, the same on all machines, whose
-    words end at white space. A null text is empty, and an empty document is its end
+    words end at white space. Larger blocks and caches save time and cost memory; they
+    change nothing else but the place of cuts. A null text is empty, and an empty document is its end
     id alone. Repeated rows and ids are packed as often as they come; null ids stay
     null. An empty table gives an empty result. Rows should come from a table, so
     that a task that runs again reads the same ones."""
@@ -258,11 +275,11 @@ def packed(documents: DataFrame, tokenizer: str, with_ids: bool = True) -> DataF
         return pa.RecordBatch.from_arrays(columns, names=names), len(sizes), int(step_of.max(initial=-1)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens(tokenizer)
+        encoder = WordTokens(tokenizer, cached_parts)
         sequence = step = TaskContext.get().partitionId() << 32
         doc_ids, ids, counts, held = [], [], [], 0
-        for batch in batches:
-            for block in blocks(batch, 1, BLOCK_BYTES):
+        for batch in _gathered_batches(batches, block_bytes):
+            for block in blocks(batch, 1, 2 * block_bytes):
                 found, sizes = encoder.encode(block.column(1))
                 doc_ids.append(block.column(0))
                 ids.append(found)

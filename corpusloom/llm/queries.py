@@ -261,7 +261,9 @@ def tokenizer_path() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return packing.packed(
+        table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, block_bytes=8 << 20, cached_parts=400_000,
+    )
 
 
 def op6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

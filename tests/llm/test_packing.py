@@ -30,10 +30,9 @@ def test_tokens(texts):
 
 
 @pytest.mark.parametrize("cached", [1, 10**6])
-def test_special_strings_and_cache(monkeypatch, cached):
-    monkeypatch.setattr(packing, "CACHED_PARTS", cached)
+def test_special_strings_and_cache(cached):
     texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "it's I'LL 12 3é", "", None, "word " * 1000]
-    encoder = packing.WordTokens(PATH)
+    encoder = packing.WordTokens(PATH, cached)
     for _ in range(2):
         ids, _ = encoder.encode(pa.array(texts))
         assert ids.tolist() == [i for e in plain_ids(texts) for i in e]
