@@ -1,7 +1,7 @@
 """URL filters: domain rules first, then a path-template tree with labelled purity.
 
 Per host, paths are a tree of segments. Level by level, segments that vary (numbers,
-long codes, or values that few of a node's pages have) become a wildcard, and so do
+long codes, or values of fewer than three pages) become a wildcard, and so do
 branches that a chi-square test cannot tell from the rest of their node, neither by
 what follows them nor by the labels of their pages. What remains are templates; one
 whose labelled pages are bad too often, smoothed by the share of bad pages at large,
@@ -26,7 +26,7 @@ Rule = tuple[str, str, str]
 
 DEPTH = 4                 # segments of a template; what is deeper is one more, a wildcard
 LEAST_PAGES = 3           # of a literal segment
-LEAST_SHARE = 0.02        # of its node's pages
+LEAST_SHARE = 0.02        # of its node's pages; in the SQL only, the tests alone decide here
 LABEL_LIMIT = 3.84        # chi-square at 5 %, one degree of freedom
 SHAPE_LIMIT = 7.81        # three degrees
 SMOOTHING = 4.0           # pages at the common share of bad ones, added to each template
@@ -90,7 +90,7 @@ def _level(rows: DataFrame, depth: int) -> DataFrame:
     totals = counts.groupBy("host", "template").agg(
         *[F.sum(c).alias(f"all_{c}") for c in ("pages", "bad", "good", *SHAPES)]
     )
-    few = (F.col("pages") < LEAST_PAGES) | (F.col("pages") < LEAST_SHARE * F.col("all_pages"))
+    few = F.col("pages") < LEAST_PAGES
     varies = F.col("segment").rlike(VARIABLE) | F.col("segment").isin("*", "**") | few
     alone = F.col("pages") == F.col("all_pages")
     alike = (F.expr(LABEL_TEST) < LABEL_LIMIT) & F.when(alone, False).otherwise(F.expr(SHAPE_TEST) < SHAPE_LIMIT)

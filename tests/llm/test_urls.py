@@ -68,3 +68,11 @@ def test_query(spark, sf_dir, limit, monkeypatch):
     monkeypatch.setattr(urls, "REJECT", limit)
     sql = queries.SQL["op9_urls"].replace("purity >= 0.5", f"purity >= {limit}")
     same_as_sql(queries.op9_urls(spark, sf_dir), connection(sf_dir), sql)
+
+
+def test_a_small_branch_of_a_hot_host(spark):
+    """15 bad pages of 3,015 are below the share of 2 %, but the labels tell them apart."""
+    urls_of = [(f"http://hot/news/{i}", 0) for i in range(3000)] + [(f"http://hot/casino/{i}", 1) for i in range(15)]
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls_of)], "page_id long, url string, bad int")
+    found = {(r.template, r.verdict) for r in urls.judged(frame, []).collect()}
+    assert found == {("hot/news/*", "allow"), ("hot/casino/*", "block")}
