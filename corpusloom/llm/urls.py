@@ -3,9 +3,10 @@
 Per host, paths are a tree of segments. Level by level, segments that vary (numbers,
 long codes, or values of fewer than three pages) become a wildcard, and so do
 branches that a chi-square test cannot tell from the rest of their node, neither by
-what follows them nor by the labels of their pages. What remains are templates; one
-whose labelled pages are bad too often, smoothed by the share of bad pages at large,
-is rejected with all its pages, labelled or not.
+what follows them nor by the labels of their pages. Beyond the first four segments only
+levels at which branches differ are taken up. What remains are templates; one whose
+labelled pages are bad too often, smoothed by the share of bad pages at large, is
+rejected with all its pages, labelled or not.
 
 Everything is counting by (host, template so far, segment), which Spark combines
 before it shuffles, and a join of each page to the fate of its segment, which
@@ -24,7 +25,7 @@ from corpusloom.session import written
 #: (verdict, host, path): for the host and its subdomains, at paths that begin so.
 Rule = tuple[str, str, str]
 
-DEPTH = 4                 # segments of a template; what is deeper is one more, a wildcard
+DEPTH = 4                 # segments taken level by level; deeper ones only where branches differ
 LEAST_PAGES = 3           # of a literal segment
 LEAST_SHARE = 0.02        # of its node's pages; in the SQL only, the tests alone decide here
 LABEL_LIMIT = 3.84        # chi-square at 5 %, one degree of freedom
@@ -67,8 +68,7 @@ def _matched(rules: Sequence[Rule]) -> tuple[Column, Column]:
 
 
 def _segments() -> Column:
-    found = F.filter(F.split("path", "/"), lambda s: s != "")
-    return F.when(F.size(found) <= DEPTH, found).otherwise(F.concat(F.slice(found, 1, DEPTH), F.array(F.lit("**"))))
+    return F.filter(F.split("path", "/"), lambda s: s != "")
 
 
 def _shape(segment: Column) -> Column:
@@ -78,39 +78,85 @@ def _shape(segment: Column) -> Column:
     )
 
 
-def _level(rows: DataFrame, depth: int) -> DataFrame:
-    """The rows with the template one segment longer."""
-    segment, following = F.get("segments", F.lit(depth)), _shape(F.get("segments", F.lit(depth + 1)))
-    at = rows.withColumn("segment", segment)
-    counts = at.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"),
-        *[F.count_if(following == s).alias(s) for s in SHAPES],
-    )
-    counts = written(counts, "branches")
-    totals = counts.groupBy("host", "template").agg(
-        *[F.sum(c).alias(f"all_{c}") for c in ("pages", "bad", "good", *SHAPES)]
-    )
+def _fates(counts: DataFrame, node: Sequence[str]) -> DataFrame:
+    """The branches of the nodes with what tells them apart: `varies, alone, alike`."""
+    totals = counts.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "bad", "good", *SHAPES)])
     few = F.col("pages") < LEAST_PAGES
     varies = F.col("segment").rlike(VARIABLE) | F.col("segment").isin("*", "**") | few
     alone = F.col("pages") == F.col("all_pages")
     alike = (F.expr(LABEL_TEST) < LABEL_LIMIT) & F.when(alone, False).otherwise(F.expr(SHAPE_TEST) < SHAPE_LIMIT)
-    fate = counts.join(totals, ["host", "template"]).select(
-        "host", "template", "segment", F.when(varies | alike, "*").otherwise(F.col("segment")).alias("as"),
+    return counts.join(totals, list(node)).select(
+        *node, "segment", varies.alias("varies"), alone.alias("alone"), alike.alias("alike"),
+    )
+
+
+def _counts(following: Column) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good"),
+        *[F.count_if(following == s).alias(s) for s in SHAPES],
+    ]
+
+
+def _level(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows with the template one segment longer."""
+    segment, following = F.get("segments", F.lit(depth)), _shape(F.get("segments", F.lit(depth + 1)))
+    at = rows.withColumn("segment", segment)
+    counts = at.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*_counts(following))
+    fate = _fates(written(counts, "branches"), ["host", "template"]).select(
+        "host", "template", "segment", F.when(F.col("varies") | F.col("alike"), "*").otherwise(F.col("segment")).alias("as"),
     )
     met = at.join(written(fate, "segments"), ["host", "template", "segment"], "left")
     longer = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))
     return met.select("page_id", "url", "host", "path", "bad", "segments", longer.alias("template"))
 
 
+def _deeper(rows: DataFrame) -> DataFrame:
+    """The rows with the segments beyond DEPTH in the template, as far as some differ.
+
+    A node looks at all its deeper levels at once and is split at the first at which the
+    tests tell branches apart; these, and what is left of it, are nodes again, from the
+    next level on. Segments passed over are wildcards, and so are all after the last
+    split, as one. A node ends when no level splits it."""
+    names = ["page_id", "url", "host", "path", "bad", "template"]
+    done = rows.where(F.size("segments") <= DEPTH).select(*names)
+    # used: segments in the template; at: the next to look at
+    active = rows.where(F.size("segments") > DEPTH).withColumn("used", F.lit(DEPTH)).withColumn("at", F.lit(DEPTH))
+    active = written(active, "deep")
+    while not active.isEmpty():
+        level, segment = F.col("level"), F.get("segments", F.col("level"))
+        each = active.select("host", "template", "bad", "segments", F.explode(F.sequence("at", F.size("segments") - 1)).alias("level"))
+        each = each.select("host", "template", "bad", "level", segment.alias("segment"), _shape(F.get("segments", level + 1)).alias("shape"))
+        counts = written(each.groupBy("host", "template", "level", "segment").agg(*_counts(F.col("shape"))), "branches")
+        fates = _fates(counts, ["host", "template", "level"]).where("NOT varies AND NOT alone AND NOT alike")
+        fates = written(fates.select("host", "template", "level", "segment"), "segments")
+        splits = fates.groupBy("host", "template").agg(F.min("level").alias("level"))
+        met = written(active.join(splits, ["host", "template"], "left"), "deep")
+        rest = F.when(F.size("segments") > F.col("used"), F.concat("template", F.lit("/*"))).otherwise(F.col("template"))
+        done = done.unionByName(met.where("level IS NULL").withColumn("template", rest).select(*names))
+        apart = fates.withColumn("literal", F.lit(True))
+        split = met.where("level IS NOT NULL").withColumn("segment", segment)
+        split = split.join(apart, ["host", "template", "level", "segment"], "left")
+        named = F.concat("template", F.expr("repeat('/*', level - used)"), F.lit("/"), "segment")
+        split = split.select(
+            *names[:-1], "segments", F.when(F.col("literal"), named).otherwise(F.col("template")).alias("template"),
+            F.when(F.col("literal"), level + 1).otherwise(F.col("used")).alias("used"), (level + 1).alias("at"),
+        )
+        over = F.size("segments") <= F.col("at")
+        split = written(split, "deep")
+        done = done.unionByName(split.where(over).withColumn("template", rest).select(*names))
+        active = split.where(~over)
+    return done
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """`page_id, url, host, path, bad, template` of a table `page_id, url, bad`; bad is 1, 0
     or null where a page has no label."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "bad", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("segments", _segments()).withColumn("template", F.lit(""))
-    for depth in range(DEPTH + 1):
+    for depth in range(DEPTH):
         rows = _level(written(rows, "level"), depth)
-    return rows.drop("segments").withColumn("template", F.concat("host", "template"))
+    return _deeper(written(rows, "level")).withColumn("template", F.concat("host", "template"))
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:

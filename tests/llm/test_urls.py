@@ -76,3 +76,26 @@ def test_a_small_branch_of_a_hot_host(spark):
     frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls_of)], "page_id long, url string, bad int")
     found = {(r.template, r.verdict) for r in urls.judged(frame, []).collect()}
     assert found == {("hot/news/*", "allow"), ("hot/casino/*", "block")}
+
+
+def test_branches_far_down(spark):
+    """Branches part at the fifth segment, at the eighth behind a number, and again below; one is a long way down."""
+    made = []
+    for i in range(60):
+        made += [(f"http://h/2024/05/{i}/news/casino/{i}", 1), (f"http://h/2024/05/{i}/news/sport/{i}", 0)]
+        made += [(f"http://g/a/b/c/d/{i}/e/x/ads/{i}", 1), (f"http://g/a/b/c/d/{i}/e/x/art/fine/{i}", 0), (f"http://g/a/b/c/d/{i}/e/x/art/odd/{i}", 1)]
+        made += [("http://f/" + "s/" * 60 + f"{('in', 'out')[i % 2]}/{i}", i % 2)]
+    made += [("http://e/" + "s/" * 3000, 0)] * 5 + [("http://d/a/b/c/d/e", None), ("http://d/a/b/c/d", None)]
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(made)], "page_id long, url string, bad int")
+    found = {r.page_id: r for r in urls.judged(frame, []).collect()}
+    assert len(found) == len(made)
+    for i, (url, bad) in enumerate(made):
+        if bad is not None:  # the others are judged by the share at large
+            assert found[i].verdict == ("block" if bad else "allow"), url
+    of = {url.split("/")[2]: set() for url, _ in made}
+    for i, (url, _) in enumerate(made):
+        of[url.split("/")[2]].add(found[i].template)
+    assert of["h"] == {"h/*/*/*/news/casino/*", "h/*/*/*/news/sport/*"}
+    assert of["g"] == {"g/a/b/c/d/*/*/*/ads/*", "g/a/b/c/d/*/*/*/art/fine/*", "g/a/b/c/d/*/*/*/art/odd/*"}
+    assert of["e"] == {"e/s/s/s/s/*"} and of["d"] == {"d/*/*/*/*/*", "d/*/*/*/*"}
+    assert of["f"] == {"f/s/s/s/s" + "/*" * 56 + f"/{word}/*" for word in ("in", "out")}
