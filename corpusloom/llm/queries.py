@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    exact_dedup, mixing, packing, preferences, quality, sharding, simhash, sketches, toxicity, urls,
+    compression, exact_dedup, mixing, packing, preferences, quality, sharding, simhash, sketches, toxicity, urls, warc, whitening,
 )
 
 SHARDS = 8
@@ -295,6 +295,79 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.report(table(spark, sf_dir, "embeddings"), components=8)
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+    )
+
+
+SQL_WARC = """
+WITH paid AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, unhex(sha1(encode(coalesce(html, ''))))::BIT::VARCHAR AS bits FROM pages),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS place,
+         first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS first
+  FROM paid)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + 16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT]), '')
+         AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to
+FROM placed"""
+
+
+def op13_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def _sql_round(number: int, last: bool) -> str:
+    """The nearest entries of all parts, and the entries after that."""
+    near = f"""
+near{number} AS MATERIALIZED (
+  SELECT vec_id, label, p, v, min(struct_pack(d := far, e := entry)) AS best
+  FROM (SELECT c.*, entry, list_inner_product(c.v, c.v) - 2 * list_inner_product(c.v, b.w) + list_inner_product(b.w, b.w) AS far
+        FROM cut c JOIN book{number} b USING (p))
+  GROUP BY ALL)"""
+    if last:
+        return near
+    return near + f""",
+sums{number} AS (
+  SELECT p, entry, list(mean ORDER BY i) AS w
+  FROM (SELECT p, best.e AS entry, i, floor(sum(v[i]) / count(*)) AS mean
+        FROM near{number}, range(1, (SELECT max(len(v)) FROM cut) + 1) r(i) GROUP BY ALL)
+  GROUP BY ALL),
+book{number + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(s.w, b.w) AS w FROM book{number} b LEFT JOIN sums{number} s USING (p, entry)),"""
+
+
+SQL_COMPRESSION = f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, label, p::INT AS p, x[p * len(x) // {compression.PARTS} + 1 : (p + 1) * len(x) // {compression.PARTS}] AS v
+  FROM whole, range({compression.PARTS}) r(p)),
+book0 AS MATERIALIZED (
+  SELECT p, (place - 1)::INT AS entry, v AS w
+  FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS place FROM cut) WHERE place <= {compression.ENTRIES}),
+{"".join(_sql_round(k, k == compression.ROUNDS) for k in range(compression.ROUNDS + 1))},
+hashed AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(w, lambda c: c::BIGINT::VARCHAR), ','), ',' ORDER BY p, entry)) AS codebooks_sha256
+  FROM book{compression.ROUNDS}),
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM near{compression.ROUNDS} GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded, hashed"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_preferences": op2_preferences,
@@ -306,10 +379,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
+    "op13_compression": op13_compression,
 }
 SQL: dict[str, str] = {
     "op2_preferences": SQL_PREFERENCES,
     "op3_mixing": SQL_MIXING,
     "op7_exact_dedup": SQL_EXACT_DEDUP,
     "op9_urls": SQL_URLS,
+    "op12_warc": SQL_WARC,
+    "op13_compression": SQL_COMPRESSION,
 }
