@@ -24,7 +24,7 @@ from corpusloom.llm.vectors import integers, matrix
 from corpusloom.session import written
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-CELL = 64             # width of a grid cell
+CELL = 32             # width of a grid cell
 CACHED_CELLS = 20_000 # per part position; beyond it the memory of cells begins anew
 _SMALL = 1 << 24      # components up to which squared distances fit in a long
 _BLOCK = 128          # cells, or 32 times as many candidates, at a time
@@ -45,18 +45,25 @@ class Nearest:
         self.evaluated = self.missed = 0  # distances and cells worked out
 
     def _undominated(self, cells: np.ndarray) -> list[np.ndarray]:
-        """The entries of each cell that may be the nearest somewhere in it."""
-        low = _exactly(cells * self.width)
-        high, book = low + (self.width - 1), _exactly(self.book)
-        out = []
+        """The entries of each cell that may be the nearest somewhere in it. All lengths are
+        doubled, so that the middle of a box is a whole number."""
+        half, middles, book = self.width - 1, 2 * cells * self.width + self.width - 1, 2 * self.book
+        largest = max((int(np.abs(v).max()) for v in (middles, book) if v.size), default=0)
+        square = book.shape[1] * (2 * largest + half) ** 2
+        kind = np.int32 if square < 1 << 31 else np.int64 if square < 1 << 63 else object
+        middles, book = middles.astype(kind), book.astype(kind)
+        out: list[np.ndarray] = []
         for first in range(0, len(cells), _BLOCK):
-            below = low[first : first + _BLOCK, None, :] - book[None]
-            above = book[None] - high[first : first + _BLOCK, None, :]
-            inside = np.maximum(np.maximum(below, above), 0)
-            across = np.maximum(np.abs(below), np.abs(above))
-            least, greatest = (inside * inside).sum(axis=2), (across * across).sum(axis=2)
-            keep = least <= greatest.min(axis=1, keepdims=True)
-            out += [np.nonzero(row)[0] for row in keep]
+            some = middles[first : first + _BLOCK]
+            least = np.zeros((len(some), len(book)), dtype=kind)
+            greatest = least.copy()
+            for middle, entry in zip(some.T, book.T):
+                apart = np.abs(np.subtract.outer(middle, entry))
+                across = apart + half
+                greatest += across * across
+                inside = np.maximum(apart - half, 0)
+                least += inside * inside
+            out += [np.nonzero(row)[0] for row in least <= greatest.min(axis=1, keepdims=True)]
         return out
 
     def _candidates(self, parts: np.ndarray) -> list[np.ndarray]:
