@@ -163,12 +163,14 @@ def one_of_each(documents: DataFrame, arrivals: int = 2) -> DataFrame:
 
 def survivors(documents: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of `documents` that a table `doc_id, text_key, rows, stay` keeps: all, none or one
-    of the rows with the same id and text. The texts are not shuffled while the rows
-    to leave out are few (counted); beyond that they join by id."""
+    of the rows with the same id and text (null ids among themselves; a null text as
+    empty). Of these, any one stays. All columns come through, whatever their names. The
+    texts are not shuffled while the rows to leave out are few (counted); beyond that
+    they join by id. An empty table gives an empty result."""
     odd = written(decided.where("stay < rows"), "odd")
-    keyed = documents.withColumn("_key", text_key())
-    right = odd.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_odd"), "stay")
-    match = keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_odd"))
-    plain = keyed.join(_bounded(right), match, "left_anti")
-    some = keyed.join(_bounded(right.where("stay > 0")), match).dropDuplicates(["_id", "_odd"])
-    return plain.select(*documents.columns).unionByName(some.select(*documents.columns))
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", text_key().alias("text_key"))
+    right = odd.select(F.col("doc_id").alias("odd_id"), F.col("text_key").alias("odd_key"), "stay")
+    match = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("text_key") == F.col("odd_key"))
+    plain = whole.join(_bounded(right), match, "left_anti")
+    some = whole.join(_bounded(right.where("stay > 0")), match).dropDuplicates(["odd_id", "odd_key"])
+    return plain.select("row.*").unionByName(some.select("row.*"))

@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.sampling import SAMPLE_ROWS, labelled
 from corpusloom.llm.words import blocks, words_of
 
-SAMPLE_ROWS = 4000   # rated rows that are trained on, at most
 FEATURES = 1 << 17
 EPOCHS = 12
 BATCH = 64
@@ -131,13 +131,10 @@ def fit(texts: list[str], grades: np.ndarray, levels: int, seed: int = 5) -> Cum
 
 
 def sampled(documents: DataFrame, ratings: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """At most `rows` rated documents that are not held out. The ids, bounded by that
-    number, are broadcast; texts are not shuffled."""
-    rated = ratings.where(~held_out()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rated = rated.where("doc_id IS NOT NULL AND grade IS NOT NULL")
-    ids = rated.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rows)
-    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas()
-    return found.sort_values("doc_id").reset_index(drop=True)
+    """At most `rows` rated documents that are not held out, of bounded size together
+    (`sampling.labelled`): `doc_id, text, grade`."""
+    rated = ratings.where(~held_out()).groupBy("doc_id").agg(F.min("grade").alias("grade")).where("grade IS NOT NULL")
+    return labelled(documents, rated, rows=rows)
 
 
 def train(documents: DataFrame, ratings: DataFrame, levels: int) -> CumulativeLink:

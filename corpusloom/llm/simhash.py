@@ -15,7 +15,7 @@ one link to the least of them stands for all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,22 @@ def fingerprint(text: str | None, width: int) -> int:
     for first in range(0, count, _BLOCK):
         part = words[first : min(first + _BLOCK, count) + width - 1]
         grams = zip(*(part[i:] for i in range(width))) if len(words) >= width else [words]
-        hashes = [xxhash.xxh64_intdigest(b" ".join(gram), SEED) for gram in grams]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += _ones([xxhash.xxh64_intdigest(b" ".join(gram), SEED) for gram in grams])
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
+def _ones(hashes: Sequence[int]) -> np.ndarray:
+    """How many hashes have each bit set."""
+    bits = np.unpackbits(np.asarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats included."""
+    ones = sum((_ones(hashes[i : i + _BLOCK]) for i in range(0, len(hashes), _BLOCK)), np.zeros(BITS, dtype=np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(documents: DataFrame, width: int) -> DataFrame:
     """`doc_id, text_key, fp` (fp as a signed long) of every row, in its place."""
 

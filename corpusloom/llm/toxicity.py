@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.sampling import SAMPLE_ROWS, labelled
 from corpusloom.llm.words import Words, blocks, words_of
 
-SAMPLE_ROWS = 4000      # labelled rows that are trained on, at most
 ROWS = 1 << 16          # of the hashed embedding
 WIDTH = 12              # of an embedding
 WIDTHS = (1, 2, 3)      # words under a filter
@@ -254,13 +254,10 @@ def _calibrate(model: Cnn, texts: list[str], labels: np.ndarray, langs: list[str
 
 
 def sampled(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """At most `rows` labelled documents that are not held out: `doc_id, text, lang, toxic`. The
-    sampled ids, bounded by that number, are broadcast; texts are not shuffled."""
-    label = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    label = label.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    ids = label.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rows)
-    found = documents.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").toPandas()
-    return found.sort_values("doc_id").reset_index(drop=True)
+    """At most `rows` labelled documents that are not held out, of bounded size together
+    (`sampling.labelled`): `doc_id, text, lang, toxic`."""
+    label = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
+    return labelled(documents, label, "lang", rows=rows)
 
 
 def train(documents: DataFrame, labels: DataFrame, seed: int = 7) -> Cnn:
@@ -282,8 +279,9 @@ def train(documents: DataFrame, labels: DataFrame, seed: int = 7) -> Cnn:
 
 
 def scored(documents: DataFrame, model: Cnn) -> DataFrame:
-    """The rows of `documents` (`text` needed) with `score`. Null and empty texts get the
-    score of a text without words. Rows stay where they are."""
+    """The rows of `documents` (`text` needed) with `score`, in place of a column of that name. Null
+    and empty texts get the score of a text without words; equal texts, repeated rows among
+    them, get equal scores. Rows stay where they are; an empty table gives an empty result."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     others = [c for c in documents.columns if c != "score"]
     at = others.index("text")
@@ -307,7 +305,11 @@ def thresholds(model: Cnn) -> Column:
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `documents` whose score is below the threshold of their language."""
+    """The rows of `documents` (`doc_id`, `text`, `lang`) whose score is below the threshold of their
+    language; a null or unknown language has the common one, a score at the threshold is
+    rejected. Each row is judged by its text, so null ids and repeated rows are kept or
+    go as others. All columns come through, whatever their names; an empty table stays empty."""
     model = train(documents, labels)
-    columns = documents.columns
-    return scored(documents, model).where(F.col("score") < thresholds(model)).select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(whole.alias("row"), "text", "lang")
+    return scored(rows, model).where(F.col("score") < thresholds(model)).select("row.*")
