@@ -11,7 +11,7 @@ is then scanned in place. Many are cut into blocks and meet the chunks in tiles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +205,8 @@ def _tiles(
 
 
 def top_k(
-    questions: DataFrame, chunks: DataFrame, k: int, *, broadcast_bytes: int = BROADCAST_BYTES
+    questions: DataFrame, chunks: DataFrame, k: int, *, broadcast_bytes: int = BROADCAST_BYTES,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Questions `q_id, qvec` against chunks `chunk_id, embedding`: rows
     `q_id, rank, chunk_id, similarity`, by ascending distance.
@@ -213,6 +214,8 @@ def top_k(
     Both ids must be unique. NaN ranks behind all numbers and a missing vector
     behind NaN; ties go by chunk id. Rows without `qvec` have no result. The
     questions are counted when this is called: their number decides the form.
+    `then` may choose among these rows, before columns of the chunks are joined: it must
+    return no more rows than it gets, and none that are much wider.
     """
     # Counted without the vectors, and measured on one of them: neither makes the
     # vectors of all questions. Questions without one are dropped where they are
@@ -235,7 +238,11 @@ def top_k(
     ranked = ranked.select("q_id", "rank", "chunk_id", "similarity")
     # At most k rows per question: where these are few enough, the joins to come
     # scan the other side in place; else they shuffle.
-    return F.broadcast(ranked) if n * k * (HIT_BYTES + id_bytes) <= broadcast_bytes else ranked
+    few = n * k * (HIT_BYTES + id_bytes) <= broadcast_bytes
+    for step in [lambda rows: rows, then] if then else [lambda rows: rows]:
+        ranked = step(ranked)
+        ranked = F.broadcast(ranked) if few else ranked
+    return ranked
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:

@@ -38,24 +38,24 @@ def boosted_top_k(
 
     A biased question re-sorts `overfetch * k` nearest chunks by a score raised
     for one section; the others keep the k nearest. One job serves both kinds.
+    Only the section is looked up to rank them; contents come to the last k.
     """
-    near = top_k(questions, chunks, k * overfetch, **search)
-    found = with_chunks(near, chunks, *SNIPPET_COLUMNS).join(
-        questions.select("q_id", "bias"), "q_id"
-    )
-    raised = F.col("similarity") + F.when(F.col("section") == section, weight).otherwise(0.0)
-    found = found.select(
-        "q_id", "chunk_id", *SNIPPET_COLUMNS, "bias",
-        F.col("rank").alias("near"),
-        F.col("similarity").alias("score"),
-        raised.alias("boosted"),
-    )
-    # Without bias the first key is null throughout and the distance decides.
-    order = Window.partitionBy("q_id").orderBy(
-        F.when(F.col("bias"), F.col("boosted")).desc_nulls_first(), F.col("near")
+
+    def boosted(near: DataFrame) -> DataFrame:
+        found = with_chunks(near, chunks, "section").join(questions.select("q_id", "bias"), "q_id")
+        raised = F.col("similarity") + F.when(F.col("section") == section, weight).otherwise(0.0)
+        found = found.withColumn("boosted", raised).withColumnRenamed("rank", "near")
+        # Without bias the first key is null throughout and the distance decides.
+        order = Window.partitionBy("q_id").orderBy(
+            F.when(F.col("bias"), F.col("boosted")).desc_nulls_first(), F.col("near")
+        )
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("q_id", "chunk_id", "rank", F.col("similarity").alias("score"), "boosted")
+
+    near = top_k(questions, chunks, k * overfetch, then=boosted, **search)
+    return with_chunks(near, chunks, *SNIPPET_COLUMNS).select(
+        "q_id", "chunk_id", *SNIPPET_COLUMNS, "score", "boosted", "rank"
     )
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.drop("near", "bias")
 
 
 def shape_snippets(hits: DataFrame, n: int = SNIPPETS) -> DataFrame:

@@ -16,15 +16,15 @@ def chunk_documents(spark: SparkSession, root: str, out: str, **options) -> None
     chunk_files.write_chunks(build_chunks(documents(spark, root), **options), out)
 
 
-def embedded_chunks(chunks: DataFrame, *, now=None, **embedding) -> DataFrame:
-    """Chunk records to store rows. No shuffle."""
-    return chunk_store.store_rows(embed(chunks, "content", **embedding), now=now)
+def embedded_chunks(chunks: DataFrame, *also: str, now=None, **embedding) -> DataFrame:
+    """Chunk records to store rows, and further columns. No shuffle."""
+    return chunk_store.store_rows(embed(chunks, "content", **embedding), *also, now=now)
 
 
-def embed_and_index(spark: SparkSession, chunk_dir: str, store: str, **embedding) -> None:
+def embed_and_index(spark: SparkSession, chunk_dir: str, store: str, *, buckets: int = chunk_store.BUCKETS, **embedding) -> None:
     """Embed the chunk files and upsert them. Of two rows of a chunk the one made
-    later wins."""
-    chunks = chunk_files.read_chunks(spark, chunk_dir)
-    batch = embedded_chunks(chunks, **embedding)
-    made = F.get_json_object("metadata", "$.updated_at")
-    chunk_store.upsert(spark, store, batch.withColumn("made", made), order="made")
+    later wins, and of those made at one time the later one by file name and line."""
+    lines = ["made", "file_path", "file_block_start"]
+    chunks = chunk_files.read_chunks(spark, chunk_dir).select("*", *(f"_metadata.{c}" for c in lines[1:]))
+    batch = embedded_chunks(chunks.withColumn("made", F.col("metadata.updated_at")), *lines, **embedding)
+    chunk_store.upsert(spark, store, batch, order=lines, buckets=buckets)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
+def last_per_key(batch: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key. The row-number limit is applied before the
     shuffle as well, so copies of a hot key are dropped where they are read."""
-    newest = Window.partitionBy(key).orderBy(F.col(order).desc())
+    newest = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
     return batch.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n")
 
 

@@ -55,6 +55,23 @@ def test_boost_reorders_and_missing_scores(spark):
         (1, "Snippet", 0.0), (1, "Snippet", 0.995), (2, "Snippet", 0.995), (2, "Snippet", 0.0)]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_contents_join_the_last_k_only(spark, tmp_path, broadcast_bytes):
+    """No exchange above the scan of the contents but the one of their own join."""
+    path = str(tmp_path / "store")
+    spark.createDataFrame(
+        [(f"c{i}", "t", "u", "text", "experience" if i % 3 else None, [1.0, i / 10]) for i in range(40)],
+        "chunk_id string, title string, url string, content string, section string, embedding array<float>",
+    ).write.parquet(path)
+    questions = spark.createDataFrame([(i, [1.0, i / 5], i % 2 == 0) for i in range(9)], "q_id int, qvec array<float>, bias boolean")
+    hits = R.boosted_top_k(questions, spark.read.parquet(path), broadcast_bytes=broadcast_bytes)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [i for i, line in enumerate(plan) if "Window " in line]
+    contents = [i for i, line in enumerate(plan) if "Relation" in line or "Project" in line and "content#" in line]
+    assert windows and sum("content#" in plan[i] for i in range(windows[0], windows[-1])) == 0 and contents
+    assert all(r.content == "text" for r in hits.collect()) and hits.count() == 54
+
+
 def test_rerank_ties_and_failure(spark):
     rows = [(q, i, f"c{i}", f"w{i % 2}") for q in (1, 2) for i in range(1, 7)]
     candidates = spark.createDataFrame(rows, "q_id int, rank int, id string, content string")

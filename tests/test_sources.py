@@ -53,6 +53,82 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert len({r.id for r in second.values()}) == 3
 
 
+def _batch(spark, rows):
+    """Rows `chunk_id, title, at` as a batch for the store, in this order."""
+    return spark.createDataFrame(rows, "chunk_id string, title string, at int").selectExpr(
+        "cast(null as long) id", "title", "'' url", "chunk_id", "'' content", "'' section", "'{}' metadata",
+        "array(cast(at as float)) embedding", "timestamp'2020-01-01' updated_at", "at")
+
+
+def _titles(spark, store):
+    rows = chunk_store.read_store(spark, store, "chunk_id", "title", "id").collect()
+    assert len({r.id for r in rows}) == len(rows) == len({r.chunk_id for r in rows}) and all(r.id > 0 for r in rows)
+    return {r.chunk_id: r.title for r in rows}
+
+
+def test_an_upsert_writes_the_buckets_it_meets(spark, tmp_path):
+    store = str(tmp_path / "store")
+    chunk_store.upsert(spark, store, _batch(spark, [(f"c{i}", "old", 1) for i in range(200)]), order="at", buckets=16)
+    before = chunk_store.newest(spark, store)
+    ids = {r.chunk_id: r.id for r in chunk_store.read_store(spark, store, "chunk_id", "id").collect()}
+    assert before.buckets == 16 and len(before.held) == 16
+    batch = _batch(spark, [("c7", "new", 1), ("c8", "new", 1), ("more", "new", 1)])
+    met = {r.b for r in batch.select(chunk_store.bucket_of("chunk_id", 16).alias("b")).collect()}
+    for n in range(2):  # a second time with the same result
+        chunk_store.upsert(spark, store, batch, order="at", buckets=4)
+        after = chunk_store.newest(spark, store)
+        assert after.version == n + 1 and after.buckets == 16
+        assert {b for b in after.held if after.held[b].write != before.held[b].write} == met and len(met) < 4
+        before = after
+        assert {p.name for p in (tmp_path / "store/rows" / f"write={after.held[min(met)].write}").glob("bucket=*")} == {
+            f"bucket={b}" for b in met}
+        titles = _titles(spark, store)
+        assert len(titles) == 201 and {c for c, t in titles.items() if t == "new"} == {"c7", "c8", "more"}
+    now = {r.chunk_id: r.id for r in chunk_store.read_store(spark, store, "chunk_id", "id").collect()}
+    assert {c: now[c] for c in ids} == ids
+    chunk_store.upsert(spark, store, batch.limit(0), order="at")
+    assert chunk_store.newest(spark, store).version == 2
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_of_equal_rows_the_later_one_wins(spark, tmp_path, broadcast_bytes):
+    store = str(tmp_path / "store")
+    rows = [(f"c{i % 50}", f"t{i}", 1) for i in range(500)] + [("c0", "late but older", 0)]
+    for _ in range(2):
+        chunk_store.upsert(spark, store, _batch(spark, rows), order="at", buckets=8, broadcast_bytes=broadcast_bytes)
+        assert _titles(spark, store) == {f"c{i}": f"t{450 + i}" for i in range(50)}
+
+
+def test_later_lines_and_files_win(spark, tmp_path):
+    def line(title):
+        meta = {"src_key": "k", "updated_at": "2020-01-01T00:00:00Z"}
+        return json.dumps({"id": None, "title": title, "url": "", "chunk_id": "c", "content": title, "section": None, "metadata": meta})
+
+    files, store = tmp_path / "files", str(tmp_path / "store")
+    files.mkdir()
+    (files / "b.json").write_text("\n".join(line(f"b{i}") for i in range(5)))
+    (files / "a.json").write_text("\n".join(line(f"a{i}") for i in range(500)))
+    embed_and_index(spark, str(files), store, dim=16, buckets=4)
+    assert _titles(spark, store) == {"c": "b4"}
+
+
+def test_writers_at_one_time_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store, writers = str(tmp_path / "store"), 4
+
+    def write(w):
+        rows = [(f"w{w}-{i}", f"w{w}", 1) for i in range(5)] + [("shared", f"w{w}", 1)]
+        chunk_store.upsert(spark, store, _batch(spark, rows), order="at", buckets=8)
+
+    with ThreadPoolExecutor(writers) as pool:
+        list(pool.map(write, range(writers)))
+    titles = _titles(spark, store)
+    assert len(titles) == 5 * writers + 1 and all(titles[f"w{w}-{i}"] == f"w{w}" for w in range(writers) for i in range(5))
+    commit = chunk_store.newest(spark, store)
+    assert commit.version == writers - 1
+
+
 def test_store_without_versions(spark, tmp_path):
     assert chunk_store.read_store(spark, str(tmp_path / "none"), "chunk_id").collect() == []
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -431,6 +432,9 @@ def embed_and_index(spark, sf_dir):
         "chunk_id", "title", "section", F.get_json_object("metadata", "$.src_key").alias("src_key"),
         F.length("content").alias("n_chars"),
         F.round(V.norm(F.col("embedding")), 3).alias("norm"),
+        # In millionths, as the store keeps them.
+        F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint")), ",").alias("vector"),
+        (F.count("id").over(Window.partitionBy("id")) == 1).alias("own_id"),
     )
 
 
@@ -538,6 +542,9 @@ SELECT vec_id, unnest(range(len(embedding)))::INT AS pos,
        round(unnest(list_transform(embedding, lambda x: round_even(x::DOUBLE, 6)::FLOAT::DOUBLE)), 6) AS x
 FROM embeddings""",
     "embed_and_index": f"""
-WITH {sql_chunks(SQL_PLAIN, 600, 50)}
-SELECT chunk_id, title, section, src_key, length(content)::INT AS n_chars, 1.0::DOUBLE AS norm FROM chunked""",
+WITH {sql_chunks(SQL_PLAIN, 600, 50)}, {sql_embedding('SELECT content AS text FROM chunked', 64)}
+SELECT chunk_id, title, section, src_key, length(content)::INT AS n_chars, 1.0::DOUBLE AS norm,
+       array_to_string(list_transform(vec, lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',') AS vector,
+       true AS own_id
+FROM chunked JOIN embedded ON text = content""",
 }
