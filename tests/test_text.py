@@ -96,3 +96,38 @@ def test_fused_rules_equal_single_rules(evaluate, texts):
     fused = evaluate(T.normalize, texts)
     assert fused == evaluate(one_by_one, texts)
     assert evaluate(T.line_sentences, fused) == evaluate(T.sentences, fused)
+
+
+def test_markdown_inline_marks(evaluate):
+    from corpusloom.operators.extract import markdown_text
+
+    cases = {
+        r"\*no\* \_x\_": "*no* _x_",
+        r"a \\*b*": "a \\\nb\n",
+        "Title\n=====\ntext": "Title\ntext",
+        "Title\n--\n\ntext": "Title\n\ntext",
+        "one\ntwo\n---": "one\ntwo\n",
+        "a &amp; b &#233; &lt;i&gt;": "a & b é <i>",
+        "x <b>bold</b> y<br/>z": "x \nbold\n y\nz",
+        "`a\\*b* <i> &amp;`": "\na\\*b* <i> &amp;\n",
+        "**a `b*` c**": "\na \nb*\n c\n",
+        "**a *b* c** **[d](e)**": "\na \nb\n c\n \n\nd\n\n",
+        "<https://e.org/a_b> <!-- *c* --> d": "\nhttps://e.org/a_b\n \n d",
+        "2 < 3 & 4 > 1": "2 < 3 & 4 > 1",
+        r"\[no\](link) [yes](x)": "[no](link) \nyes\n",
+        r"\`no code\`": "`no code`",
+        "": "",
+        None: None,
+    }
+    assert evaluate(markdown_text, list(cases)) == list(cases.values())
+
+
+def test_long_markdown_takes_linear_time(evaluate):
+    from time import monotonic
+
+    from corpusloom.operators.extract import markdown_text
+
+    began = monotonic()
+    texts = [mark * 100_000 for mark in ("*", "*a ", "[", "[a](", "`", "<a ", "<!-- ", "\\", "&", "\n\nx", ">", "- ", " ", "x", "_a", "#")]
+    assert len(evaluate(markdown_text, texts)) == len(texts)
+    assert monotonic() - began < 60

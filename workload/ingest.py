@@ -297,17 +297,44 @@ def markdown_text(spark, sf_dir):
 
 def _as_markdown(c):
     """Sentences as headings, quotes and list items, some words in strong or emphasis."""
+    for plain, marked in MARKED_WORDS:
+        c = F.replace(c, F.lit(plain), F.lit(marked))
     c = F.regexp_replace(c, r"\. ", ".\n## ")
     c = F.regexp_replace(c, ", ", "\n- ")
     c = F.regexp_replace(c, r" (of|de|der) ", " **$1** ")
     return F.regexp_replace(c, r" (the|la|und) ", " [$1](x) ")
 
 
+#: Words that get tags, entities, escapes and code with marks in it.
+MARKED_WORDS = [
+    (" to ", " <b>to</b> "), (" el ", " &lt;el&gt; "), (" die ", " \\*die\\* "), (" le ", " `*le* <b> &amp;` "),
+    (" is ", " <https://example.org/is> "), (" que ", " <!-- que --> "),
+]
+MARKED_TEXT = [
+    (" to ", " \nto\n "), (" el ", " <el> "), (" die ", " *die* "), (" le ", " \n*le* <b> &amp;\n "),
+    (" is ", " \nhttps://example.org/is\n "), (" que ", " \n "),
+]
+
+def sql_word_places(c: str) -> str:
+    """A character in place of each marked word."""
+    for i, (plain, _) in enumerate(MARKED_WORDS):
+        c = f"replace({c}, '{plain}', ' ' || chr({0xE000 + i}) || ' ')"
+    return c
+
+
 SQL_AS_MARKDOWN = sub(sub(sub(sub(
-    "text", r"\. ", ".' || chr(10) || '## "), ", ", "' || chr(10) || '- "),
+    sql_word_places("text"), r"\. ", ".' || chr(10) || '## "), ", ", "' || chr(10) || '- "),
     " (of|de|der) ", r" **\1** "), " (the|la|und) ", r" [\1](x) ")
 
 
+def sql_marked_words(c: str) -> str:
+    """The texts that the marked words leave, put in their places after the other rules."""
+    for i, (_, text) in enumerate(MARKED_TEXT):
+        feeds = text.strip(" ").replace("\n", "' || chr(10) || '")
+        c = f"replace({c}, chr({0xE000 + i}), '{feeds}')"
+    return c
+
+
 def markup_routing(spark, sf_dir):
     plain = I.documents(spark, sf_dir).select("key", "text")
     pages = I.pages(spark, sf_dir).select("key", "text")
@@ -478,7 +505,7 @@ SQL = {
     "document_scan": "SELECT lang, sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY lang",
     "tolerant_decode": "SELECT doc_id, text || lang AS text FROM documents",
     "html_text": f"SELECT page_id, {sql_html('html')} AS text FROM pages",
-    "markdown_text": _sql_rule(sql_markdown("text"), SQL_AS_MARKDOWN),
+    "markdown_text": _sql_rule(sql_marked_words(sql_markdown("text")), SQL_AS_MARKDOWN),
     "markup_routing": f"""
 SELECT key, text FROM ({I.SQL_DOCUMENTS})
 UNION ALL SELECT key, {sql_html('text')} AS text FROM ({I.SQL_PAGES})""",
