@@ -7,6 +7,9 @@ The weight of a source varies over training: its schedule is integrated, and the
 inverse of the integral turns demand into a position between 0 and 1. Documents
 sorted by position, in ranges, are the curriculum.
 
+Whole documents are taken. A source's last round takes, in its order, every document that
+still fits into what is missing, and in the end one more, if that comes nearer.
+
 No task sees a whole source: the order is cut into buckets of bounded size by its
 key, sums of buckets give each its start, and only inside buckets are rows numbered.
 """
@@ -63,8 +66,10 @@ def position(share: Column, schedule: Column, schedules: Sequence = SCHEDULES) -
 
 
 def _ordered(documents: DataFrame, seed: str, *carried: str) -> DataFrame:
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/" + seed)).cast("binary"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}/"), F.md5(text.cast("binary")))
+    key = F.md5(name.cast("binary"))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
     return documents.select(*carried, "doc_id", "source", size.alias("size"), key.alias("key"))
 
 
@@ -118,8 +123,6 @@ def _plan(documents: DataFrame, seed: str, most: int) -> tuple[DataFrame, DataFr
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     known = starts.join(sources, starts.source.eqNullSafe(sources.source)).drop(sources.source)
     known = written(known, "starts")
-    # The last round stops where its rest is used up; the document that comes nearest
-    # to what is then still missing is taken as well.
     at = rows.join(known, _same_bucket(rows, known)).select(
         rows.source, rows.bucket, "place", "size", "key", (F.col("start") + F.col("upto") + F.col("size")).alias("end"), "rest",
     )
@@ -127,17 +130,63 @@ def _plan(documents: DataFrame, seed: str, most: int) -> tuple[DataFrame, DataFr
     done = at.groupBy("source").agg(
         F.first("rest").alias("rest"), F.coalesce(F.max(F.when(F.col("end") <= F.col("rest"), F.col("end"))), F.lit(0)).alias("done"),
     )
-    missing = written(done.select(F.col("source").alias("of"), "done", (F.col("rest") - F.col("done")).alias("missing")), "missing")
-    left = at.where("end > rest").join(missing, F.col("source").eqNullSafe(F.col("of")))
-    off = F.abs(F.col("size") - F.col("missing"))
-    nearest = left.where(off < F.col("missing")).groupBy("of").agg(
-        F.min(F.struct(off.alias("off"), "key", "bucket", "place", "size")).alias("extra")
-    )
-    ends = missing.join(nearest.withColumnRenamed("of", "by"), F.col("of").eqNullSafe(F.col("by")), "left").drop("by")
+    done = written(done.withColumn("missing", F.col("rest") - F.col("done")), "done")
+    late, done = _fitted(at.where("end > rest AND size > 0").drop("end", "rest"), done)
+    ends = _nearest(at.where("end > rest"), late, done)
     known = known.join(ends, known.source.eqNullSafe(ends.of), "left").drop("of")
+    lates = late.groupBy(F.col("source").alias("of"), F.col("bucket").alias("in")).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "inside"))).alias("late")
+    )
+    known = known.join(lates, known.source.eqNullSafe(lates.of) & (known.bucket == lates["in"]), "left").drop("of", "in")
     return rows, written(known, "known"), buckets
 
 
+def _fitted(left: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`source, bucket, place, inside` of the rows that are taken after the first one that did not
+    fit, with the words taken before each; and `done` (`source, rest, done, missing`) after them.
+
+    A pass takes the beginning of the rows that fit, up to the first that does not any more;
+    that one is larger than what is missing after it, so later passes have ever smaller
+    rows, and only buckets that begin within what is missing are looked into."""
+    late = None
+    while True:
+        state = done.select(F.col("source").alias("of"), "done", "missing")
+        fitting = left.join(state, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") <= F.col("missing")).drop("of")
+        left = written(fitting, "fitting")
+        sums = left.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+        before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+        near = left.join(starts, left.source.eqNullSafe(starts.of) & (left.bucket == starts["in"])).where("start <= missing")
+        inside = Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        end = F.col("start") + F.sum("size").over(inside)
+        taken = near.select("source", "bucket", "place", "size", "done", "missing", end.alias("end")).where("end <= missing")
+        taken = written(taken.withColumn("inside", F.col("done") + F.col("end") - F.col("size")), "late")
+        late = taken.select("source", "bucket", "place", "inside") if late is None else late.unionByName(
+            taken.select("source", "bucket", "place", "inside"))
+        more = taken.groupBy(F.col("source").alias("of")).agg(F.max("end").alias("more"))
+        if more.isEmpty():
+            return late, done
+        done = written(done.join(more, done.source.eqNullSafe(more.of), "left").select(
+            "source", "rest", (F.col("done") + F.coalesce("more", F.lit(0))).alias("done"),
+            (F.col("missing") - F.coalesce("more", F.lit(0))).alias("missing"),
+        ), "done")
+        gone = taken.select(F.col("source").alias("of"), F.col("bucket").alias("in"), F.col("place").alias("at"))
+        same = left.source.eqNullSafe(gone.of) & (left.bucket == gone["in"]) & (left.place == gone["at"])
+        left = left.join(gone, same, "left_anti").drop("done", "missing")
+
+
+def _nearest(left: DataFrame, late: DataFrame, done: DataFrame) -> DataFrame:
+    """`of, done` of the sources, and `extra`, the row not taken that comes nearest to what is
+    missing, if there is one that leaves less missing, or over, than without it."""
+    state = done.select(F.col("source").alias("of"), "done", "missing")
+    off = F.abs(F.col("size") - F.col("missing"))
+    near = left.join(state, F.col("source").eqNullSafe(F.col("of"))).where(off < F.col("missing"))
+    gone = late.select(F.col("source").alias("by"), F.col("bucket").alias("in"), F.col("place").alias("at"))
+    near = near.join(gone, F.col("source").eqNullSafe(F.col("by")) & (F.col("bucket") == F.col("in")) & (F.col("place") == F.col("at")), "left_anti")
+    best = near.groupBy(F.col("of").alias("by")).agg(F.min(F.struct(off.alias("off"), "key", "bucket", "place", "size")).alias("extra"))
+    return written(state.join(best, F.col("of").eqNullSafe(F.col("by")), "left").select("of", "done", "extra"), "ends")
+
+
 def _same_bucket(rows: DataFrame, known: DataFrame) -> Column:
     return rows.source.eqNullSafe(known.source) & (rows.bucket == known.bucket)
 
@@ -148,11 +197,13 @@ def _taken(rows: DataFrame, known: DataFrame, most: int, schedules: Sequence) ->
     extra = (F.col("extra.bucket") == F.col("bucket")) & (F.col("extra.place") == F.col("place"))
     extra = F.coalesce(extra, F.lit(False))
     begin = F.col("start") + F.col("upto")
-    again = (begin + F.col("size") <= F.col("rest")) | extra
+    late = F.element_at("late", F.col("place"))
+    again = (begin + F.col("size") <= F.col("rest")) | extra | late.isNotNull()
     copies = F.least(F.col("rounds") + again.cast("long"), F.lit(most).cast("long"))
     all_words = F.col("rounds") * F.col("source_size") + F.col("done") + F.coalesce("extra.size", F.lit(0))
-    # In the last round an extra document follows the others.
-    inside = lambda turn: F.when((turn == F.col("rounds")) & extra, F.col("done")).otherwise(begin)
+    # In the last round late documents follow the others, and the extra one them.
+    last = F.when(extra, F.col("done")).otherwise(F.coalesce(late, begin))
+    inside = lambda turn: F.when(turn == F.col("rounds"), last).otherwise(begin)
     share = lambda turn: (turn * F.col("source_size") + inside(turn) + F.col("size") / 2) / F.greatest(all_words, F.lit(1))
     turns = F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<bigint>"))
     positions = F.transform(turns, lambda turn: position(share(turn), F.col("turn"), schedules))
@@ -165,8 +216,8 @@ def mix(documents: DataFrame, seed: str = "mix", most: int = MOST, schedules: Se
 
     Size counts the words at ASCII white space; a null or empty text has none. A
     null source is a source of its own, last in order. Documents of no words cost
-    nothing. The order within a source goes by a digest of the id; rows with the
-    same id are neighbours and count one by one. An empty table gives an empty
+    nothing. The order within a source goes by a digest of id and text; rows of the
+    same id and text are neighbours and count one by one. An empty table gives an empty
     result. Whole documents are taken, so a source ends near its target, not at it."""
     rows, known, _ = _plan(documents, seed, most)
     return _taken(rows, known, most, schedules).select(
@@ -176,7 +227,10 @@ def mix(documents: DataFrame, seed: str = "mix", most: int = MOST, schedules: Se
 
 def curriculum(documents: DataFrame, seed: str = "mix", most: int = MOST, schedules: Sequence = SCHEDULES) -> DataFrame:
     """The rows of `documents`, as often as the mix takes them, sorted in ranges by
-    position. All columns come through."""
+    position. All columns come through, whatever their names. Null ids and texts count as
+    empty; rows of one id, text and source are copies of each other, and which of
+    them is taken once more is arbitrary only where other columns tell them apart. Equal
+    positions go by a digest of id and text. An empty table gives an empty result."""
     _, known, buckets = _plan(documents, seed, most)
     row = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "text", "source")
     rows = _placed(_ordered(row, seed, "_row"), buckets)

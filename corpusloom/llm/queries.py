@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,32 +33,17 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages.join(labels, "shown", "left"), RULES)
 
 
-def _sql_level(depth: int) -> str:
-    shape = (
-        f"CASE WHEN segments[{depth + 2}] IS NULL THEN 'leaf' WHEN regexp_matches(segments[{depth + 2}], '{urls.VARIABLE}') THEN 'varies'"
-        f" WHEN contains(segments[{depth + 2}], '.') THEN 'page' ELSE 'other' END"
-    )
-    counts = ", ".join(f"count(*) FILTER ({shape} = '{s}') AS {s}" for s in urls.SHAPES)
-    totals = ", ".join(f"sum({c}) AS all_{c}" for c in ("pages", "bad", "good", *urls.SHAPES))
-    return f"""
-branches{depth} AS (
-  SELECT host, template, segments[{depth + 1}] AS segment, count(*) AS pages, count(*) FILTER (bad = 1) AS bad,
-         count(*) FILTER (bad = 0) AS good, {counts}
-  FROM level{depth} WHERE segments[{depth + 1}] IS NOT NULL GROUP BY ALL),
-totals{depth} AS (SELECT host, template, {totals} FROM branches{depth} GROUP BY ALL),
-fates{depth} AS (
-  SELECT host, template, segment,
-         CASE WHEN regexp_matches(segment, '{urls.VARIABLE}') OR segment IN ('*', '**') OR pages < {urls.LEAST_PAGES}
-                OR pages < {urls.LEAST_SHARE} * all_pages THEN '*'
-              WHEN {urls.LABEL_TEST} < {urls.LABEL_LIMIT}
-                AND (CASE WHEN pages = all_pages THEN false ELSE {urls.SHAPE_TEST} < {urls.SHAPE_LIMIT} END) THEN '*'
-              ELSE segment END AS fate
-  FROM branches{depth} JOIN totals{depth} USING (host, template)),
-level{depth + 1} AS (
-  SELECT l.* EXCLUDE (template),
-         CASE WHEN segments[{depth + 1}] IS NULL THEN l.template ELSE l.template || '/' || fate END AS template
-  FROM level{depth} l LEFT JOIN fates{depth} f
-    ON l.host = f.host AND l.template = f.template AND l.segments[{depth + 1}] = f.segment),"""
+_NEXT = "segments[depth + 2]"
+_SQL_SHAPE = (
+    f"CASE WHEN {_NEXT} IS NULL THEN 'leaf' WHEN regexp_matches({_NEXT}, '{urls.VARIABLE}') THEN 'varies'"
+    f" WHEN contains({_NEXT}, '.') THEN 'page' ELSE 'other' END"
+)
+_SQL_COUNTED = {"pages": "true", "bad": "bad = 1", "good": "bad = 0", **{s: f"shape = '{s}'" for s in urls.SHAPES}}
+_SQL_COUNTS = ", ".join(
+    f"count(*) FILTER ({what}) OVER (PARTITION BY host, template{of}) AS {all_}{name}"
+    for all_, of in (("", ", segment"), ("all_", "")) for name, what in _SQL_COUNTED.items()
+).replace(" AS bad", " AS bads").replace(" AS good", " AS goods")
+_SQL_LABEL_TEST = re.sub(r"\b(bad|good)\b", r"\1s", urls.LABEL_TEST)
 
 
 def _sql_rule(value: int) -> str:
@@ -68,7 +55,7 @@ def _sql_rule(value: int) -> str:
 
 
 SQL_URLS = rf"""
-WITH bads AS (
+WITH RECURSIVE bads AS (
   SELECT doc_id AS shown, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
 cut AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*).*$', 1),
@@ -79,11 +66,18 @@ cut AS (
 listed AS (
   SELECT page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS found
   FROM cut LEFT JOIN bads USING (shown)),
-level0 AS (
-  SELECT page_id, host, path, bad, '' AS template,
-         CASE WHEN len(found) <= {urls.DEPTH} THEN found ELSE list_concat(found[1:{urls.DEPTH}], ['**']) END AS segments
-  FROM listed),{"".join(map(_sql_level, range(urls.DEPTH + 1)))}
-named AS (SELECT * REPLACE (host || template AS template) FROM level{urls.DEPTH + 1}),
+levels AS (
+  SELECT page_id, host, path, bad, found AS segments, 0 AS depth, '' AS template FROM listed
+  UNION ALL
+  SELECT page_id, host, path, bad, segments, depth + 1,
+         template || '/' ||
+         CASE WHEN regexp_matches(segment, '{urls.VARIABLE}') OR segment IN ('*', '**') OR pages < {urls.LEAST_PAGES} THEN '*'
+              WHEN {_SQL_LABEL_TEST} < {urls.LABEL_LIMIT}
+                AND (CASE WHEN pages = all_pages THEN false ELSE {urls.SHAPE_TEST} < {urls.SHAPE_LIMIT} END) THEN '*'
+              ELSE segment END
+  FROM (SELECT *, {_SQL_COUNTS}
+        FROM (SELECT *, segments[depth + 1] AS segment, {_SQL_SHAPE} AS shape FROM levels WHERE depth < len(segments)))),
+named AS (SELECT page_id, host, path, bad, host || template AS template FROM levels WHERE depth = len(segments)),
 counted AS (
   SELECT template, count(*) FILTER (bad = 1) AS bads, count(*) FILTER (bad = 0) AS goods FROM named GROUP BY template),
 shares AS (
@@ -190,8 +184,8 @@ def _sql_position() -> str:
 
 
 SQL_MIXING = rf"""
-WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '/mix') AS key,
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '/mix/' || md5(coalesce(text, ''))) AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
   FROM documents),
 placed AS (
@@ -221,15 +215,27 @@ joined AS (
   SELECT p.*, source_size, turn, target, rounds, rest,
          coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY p.source), 0) AS done
   FROM placed p JOIN rests r ON p.source IS NOT DISTINCT FROM r.source),
+fitted AS (
+  SELECT source, done AS before, rest - done AS missing, 0 AS place, 0::BIGINT AS size FROM joined GROUP BY source, done, rest
+  UNION ALL
+  SELECT f.source, any_value(f.before + f.size), any_value(f.missing - f.size), min(j.place), arg_min(j.size, j.place)
+  FROM fitted f JOIN joined j ON j.source IS NOT DISTINCT FROM f.source
+  WHERE j.place > f.place AND j.upto > j.rest AND j.size > 0 AND j.size <= f.missing - f.size GROUP BY f.source),
+ends AS (
+  SELECT source, max(before + size) AS done, min(missing - size) AS missing FROM fitted GROUP BY source),
+tried AS (
+  SELECT j.* EXCLUDE (done), e.done, e.missing, f.before AS late
+  FROM joined j JOIN ends e ON j.source IS NOT DISTINCT FROM e.source
+  LEFT JOIN fitted f ON j.source IS NOT DISTINCT FROM f.source AND j.place = f.place),
 extras AS (
-  SELECT source, min(struct_pack(o := abs(size - (rest - done)), k := key, p := place, s := size)) AS extra
-  FROM joined WHERE upto > rest AND abs(size - (rest - done)) < rest - done GROUP BY source),
+  SELECT source, min(struct_pack(o := abs(size - missing), k := key, p := place, s := size)) AS extra
+  FROM tried WHERE upto > rest AND late IS NULL AND abs(size - missing) < missing GROUP BY source),
 chosen AS (
-  SELECT j.*, extra, coalesce(extra.p = place, false) AS is_extra
-  FROM joined j LEFT JOIN extras e ON j.source IS NOT DISTINCT FROM e.source),
+  SELECT t.*, extra, coalesce(extra.p = place, false) AS is_extra
+  FROM tried t LEFT JOIN extras e ON t.source IS NOT DISTINCT FROM e.source),
 copied AS (
-  SELECT *, least(rounds + (upto <= rest OR is_extra)::BIGINT, {mixing.MOST}) AS copies,
-         ((CASE WHEN rounds = 0 AND is_extra THEN done ELSE upto - size END) + size / 2)
+  SELECT *, least(rounds + (upto <= rest OR is_extra OR late IS NOT NULL)::BIGINT, {mixing.MOST}) AS copies,
+         ((CASE WHEN rounds = 0 AND is_extra THEN done WHEN rounds = 0 AND late IS NOT NULL THEN late ELSE upto - size END) + size / 2)
          / greatest(rounds * source_size + done + coalesce(extra.s, 0), 1) AS share
   FROM chosen)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,

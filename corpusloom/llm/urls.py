@@ -1,20 +1,22 @@
 """URL filters: domain rules first, then a path-template tree with labelled purity.
 
-Per host, paths are a tree of segments. Level by level, segments that vary (numbers,
-long codes, or values of fewer than three pages) become a wildcard, and so do
-branches that a chi-square test cannot tell from the rest of their node, neither by
-what follows them nor by the labels of their pages. Beyond the first four segments only
-levels at which branches differ are taken up. What remains are templates; one whose
-labelled pages are bad too often, smoothed by the share of bad pages at large, is
-rejected with all its pages, labelled or not.
+Per host, paths are a tree of segments. Level by level, to the end of each path,
+segments that vary (numbers, long codes, or values of fewer than LEAST_PAGES pages)
+become a wildcard, and so do branches that a chi-square test cannot tell from the rest
+of their node, neither by what follows them nor by the labels of their pages. What
+remains are templates; one whose labelled pages are bad too often, smoothed by the
+share of bad pages at large, is rejected with all its pages, labelled or not.
 
 Everything is counting by (host, template so far, segment), which Spark combines
 before it shuffles, and a join of each page to the fate of its segment, which
-adaptive execution splits where a host has many pages.
+adaptive execution splits where a host has many pages. A run of segments that all pages
+of a node share is passed in one step, and a node of too few pages for any literal ends,
+so there are as many steps as a path has levels at which its pages part.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +27,7 @@ from corpusloom.session import written
 #: (verdict, host, path): for the host and its subdomains, at paths that begin so.
 Rule = tuple[str, str, str]
 
-DEPTH = 4                 # segments taken level by level; deeper ones only where branches differ
 LEAST_PAGES = 3           # of a literal segment
-LEAST_SHARE = 0.02        # of its node's pages; in the SQL only, the tests alone decide here
 LABEL_LIMIT = 3.84        # chi-square at 5 %, one degree of freedom
 SHAPE_LIMIT = 7.81        # three degrees
 SMOOTHING = 4.0           # pages at the common share of bad ones, added to each template
@@ -35,6 +35,8 @@ REJECT = 0.5              # smoothed share of bad pages
 VARIABLE = r"^([0-9].*|[0-9a-fA-F-]{8,}|.{41,})$"
 SHAPES = ("leaf", "varies", "page", "other")
 
+_KEPT = ["page_id", "url", "host", "path", "bad"]
+
 #: Chi-square of a branch against the rest of its node; the columns are counts. These
 #: expressions are plain SQL, for Spark and for the tests alike.
 LABEL_TEST = """
@@ -78,16 +80,18 @@ def _shape(segment: Column) -> Column:
     )
 
 
-def _fates(counts: DataFrame, node: Sequence[str]) -> DataFrame:
-    """The branches of the nodes with what tells them apart: `varies, alone, alike`."""
+def _wild(segment: Column) -> Column:
+    return segment.rlike(VARIABLE) | segment.isin("*", "**")
+
+
+def _fates(counts: DataFrame) -> DataFrame:
+    """The branches of the nodes with `as`, what stands for them in the template."""
+    node = ["host", "template"]
     totals = counts.groupBy(*node).agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "bad", "good", *SHAPES)])
-    few = F.col("pages") < LEAST_PAGES
-    varies = F.col("segment").rlike(VARIABLE) | F.col("segment").isin("*", "**") | few
+    varies = _wild(F.col("segment")) | (F.col("pages") < LEAST_PAGES)
     alone = F.col("pages") == F.col("all_pages")
     alike = (F.expr(LABEL_TEST) < LABEL_LIMIT) & F.when(alone, False).otherwise(F.expr(SHAPE_TEST) < SHAPE_LIMIT)
-    return counts.join(totals, list(node)).select(
-        *node, "segment", varies.alias("varies"), alone.alias("alone"), alike.alias("alike"),
-    )
+    return counts.join(totals, node).select(*node, "segment", F.when(varies | alike, "*").otherwise(F.col("segment")).alias("as"))
 
 
 def _counts(following: Column) -> list[Column]:
@@ -97,55 +101,31 @@ def _counts(following: Column) -> list[Column]:
     ]
 
 
-def _level(rows: DataFrame, depth: int) -> DataFrame:
-    """The rows with the template one segment longer."""
-    segment, following = F.get("segments", F.lit(depth)), _shape(F.get("segments", F.lit(depth + 1)))
-    at = rows.withColumn("segment", segment)
-    counts = at.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*_counts(following))
-    fate = _fates(written(counts, "branches"), ["host", "template"]).select(
-        "host", "template", "segment", F.when(F.col("varies") | F.col("alike"), "*").otherwise(F.col("segment")).alias("as"),
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows with the template longer by the segments that all rows of its node share, the
+    prefix of the least and the greatest rest of a path; by all segments, as wildcards, where the
+    node has too few pages for a literal."""
+    ahead = F.slice("segments", F.col("used") + 1, F.size("segments") - F.col("used"))
+    nodes = rows.withColumn("ahead", ahead).groupBy("host", "template").agg(
+        (F.count(F.lit(1)) < LEAST_PAGES).alias("few"), F.min("ahead").alias("low"), F.max("ahead").alias("high"),
     )
-    met = at.join(written(fate, "segments"), ["host", "template", "segment"], "left")
-    longer = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))
-    return met.select("page_id", "url", "host", "path", "bad", "segments", longer.alias("template"))
-
-
-def _deeper(rows: DataFrame) -> DataFrame:
-    """The rows with the segments beyond DEPTH in the template, as far as some differ.
-
-    A node looks at all its deeper levels at once and is split at the first at which the
-    tests tell branches apart; these, and what is left of it, are nodes again, from the
-    next level on. Segments passed over are wildcards, and so are all after the last
-    split, as one. A node ends when no level splits it."""
-    names = ["page_id", "url", "host", "path", "bad", "template"]
-    done = rows.where(F.size("segments") <= DEPTH).select(*names)
-    # used: segments in the template; at: the next to look at
-    active = rows.where(F.size("segments") > DEPTH).withColumn("used", F.lit(DEPTH)).withColumn("at", F.lit(DEPTH))
-    active = written(active, "deep")
-    while not active.isEmpty():
-        level, segment = F.col("level"), F.get("segments", F.col("level"))
-        each = active.select("host", "template", "bad", "segments", F.explode(F.sequence("at", F.size("segments") - 1)).alias("level"))
-        each = each.select("host", "template", "bad", "level", segment.alias("segment"), _shape(F.get("segments", level + 1)).alias("shape"))
-        counts = written(each.groupBy("host", "template", "level", "segment").agg(*_counts(F.col("shape"))), "branches")
-        fates = _fates(counts, ["host", "template", "level"]).where("NOT varies AND NOT alone AND NOT alike")
-        fates = written(fates.select("host", "template", "level", "segment"), "segments")
-        splits = fates.groupBy("host", "template").agg(F.min("level").alias("level"))
-        met = written(active.join(splits, ["host", "template"], "left"), "deep")
-        rest = F.when(F.size("segments") > F.col("used"), F.concat("template", F.lit("/*"))).otherwise(F.col("template"))
-        done = done.unionByName(met.where("level IS NULL").withColumn("template", rest).select(*names))
-        apart = fates.withColumn("literal", F.lit(True))
-        split = met.where("level IS NOT NULL").withColumn("segment", segment)
-        split = split.join(apart, ["host", "template", "level", "segment"], "left")
-        named = F.concat("template", F.expr("repeat('/*', level - used)"), F.lit("/"), "segment")
-        split = split.select(
-            *names[:-1], "segments", F.when(F.col("literal"), named).otherwise(F.col("template")).alias("template"),
-            F.when(F.col("literal"), level + 1).otherwise(F.col("used")).alias("used"), (level + 1).alias("at"),
-        )
-        over = F.size("segments") <= F.col("at")
-        split = written(split, "deep")
-        done = done.unionByName(split.where(over).withColumn("template", rest).select(*names))
-        active = split.where(~over)
-    return done
+    equal = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
+    differ = F.array_position(equal, F.lit(False)).cast("int")
+    nodes = nodes.select("host", "template", "few", F.when(differ > 0, differ - 1).otherwise(F.size("low")).alias("same"))
+    met = rows.join(nodes, ["host", "template"])
+    until = F.when(F.col("few"), F.size("segments")).otherwise(F.col("used") + F.col("same"))
+    passed = F.slice("segments", F.col("used") + 1, until - F.col("used"))
+    named = F.transform(passed, lambda s: F.concat(F.lit("/"), F.when(F.col("few") | _wild(s), "*").otherwise(s)))
+    longer = F.concat("template", F.array_join(named, ""))
+    return met.select(*_KEPT, "segments", until.alias("used"), longer.alias("template"))
+
+
+def _level(rows: DataFrame) -> DataFrame:
+    """The rows, all of longer paths, with the template one segment longer."""
+    at = rows.withColumn("segment", F.get("segments", F.col("used")))
+    counts = at.groupBy("host", "template", "segment").agg(*_counts(_shape(F.get("segments", F.col("used") + 1))))
+    met = at.join(written(_fates(written(counts, "branches")), "segments"), ["host", "template", "segment"])
+    return met.select(*_KEPT, "segments", (F.col("used") + 1).alias("used"), F.concat("template", F.lit("/"), "as").alias("template"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -153,10 +133,16 @@ def templates(pages: DataFrame) -> DataFrame:
     or null where a page has no label."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "bad", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("segments", _segments()).withColumn("template", F.lit(""))
-    for depth in range(DEPTH):
-        rows = _level(written(rows, "level"), depth)
-    return _deeper(written(rows, "level")).withColumn("template", F.concat("host", "template"))
+    rows = rows.withColumn("segments", _segments()).withColumn("used", F.lit(0)).withColumn("template", F.lit(""))
+    rows, over = written(rows, "level"), F.size("segments") <= F.col("used")
+    names = [*_KEPT, "template"]
+    done, active = rows.where(over).select(*names), rows.where(~over)
+    for step in itertools.cycle((_shared, _level)):
+        if active.isEmpty():
+            break
+        rows = written(step(active), "level")
+        done, active = done.unionByName(rows.where(over).select(*names)), rows.where(~over)
+    return done.withColumn("template", F.concat("host", "template"))
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Mixing against SQL, and its targets, limits, order and edge rows."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -68,6 +69,42 @@ def test_edges(spark, monkeypatch):
     assert mixing.mix(docs.where("source = 'empty'")).first()[2:6] == (0, 0, 0.0, 0)
 
 
+@pytest.mark.parametrize("seed", ["mix", "a", "b", "c", "d"])
+def test_long_documents_are_passed(spark, monkeypatch, seed):
+    """Short documents make up what a long one cannot, wherever it stands."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    docs = spark.createDataFrame([(i, "w " * 10, "s") for i in range(300)] + [(300, "w " * 1800, "s")], "doc_id long, text string, source string")
+    assert sum(r.taken for r in mixing.mix(docs, seed).collect()) == 7200
+
+
+def test_the_last_round(spark, monkeypatch):
+    """Against taking documents one by one."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in np.exp(rng.normal(4, 1.5, 700))]
+    docs = spark.createDataFrame(
+        [(i, f"{'w ' * n}", str(rng.choice(["a", "b", "c", "d"], p=[0.55, 0.25, 0.15, 0.05]))) for i, n in enumerate(sizes)],
+        "doc_id long, text string, source string",
+    )
+    found = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        text = "w " * r.size
+        name = f"{r.doc_id}/mix/{hashlib.md5(text.encode()).hexdigest()}"
+        found[r.source].append((hashlib.md5(name.encode()).hexdigest(), r.size, r.copies, r.target, r.source_size))
+    for rows in found.values():
+        rows.sort()
+        target, words_of = rows[0][3:]
+        rest = target - target // words_of * words_of
+        once = []
+        for _, size, *_ in rows:
+            once.append(size <= rest and size > 0)
+            rest -= size if once[-1] else 0
+        others = [(abs(size - rest), key) for (key, size, *_), o in zip(rows, once) if not o and abs(size - rest) < rest]
+        extra = min(others)[1] if others else None
+        for (key, size, copies, *_), o in zip(rows, once):
+            assert copies == target // words_of + (o or key == extra) or size == 0
+
+
 def test_curriculum(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 500)
     docs = rows_for(spark)

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def test_templates(spark):
         by.setdefault(u.split("/")[3] if u.count("/") > 2 else u, set()).add((found[i].template, found[i].verdict))
     assert by["spam"] == {("h/spam/*", "block"), ("g/*/*", "allow")}  # one label is not enough
     assert {v for _, v in by["news"] | by["blog"] | by["user"]} == {"allow"}
-    assert by["user"] == {("h/user/*/post/*/*", "allow")}
+    assert by["user"] == {("h/user/*/post/*/x/y", "allow")}
     assert {t for t, _ in by["rare"]} == {"h/*/*"} and by["http://h"] == {("h", "allow")}
 
 
@@ -96,6 +97,27 @@ def test_branches_far_down(spark):
     for i, (url, _) in enumerate(made):
         of[url.split("/")[2]].add(found[i].template)
     assert of["h"] == {"h/*/*/*/news/casino/*", "h/*/*/*/news/sport/*"}
-    assert of["g"] == {"g/a/b/c/d/*/*/*/ads/*", "g/a/b/c/d/*/*/*/art/fine/*", "g/a/b/c/d/*/*/*/art/odd/*"}
-    assert of["e"] == {"e/s/s/s/s/*"} and of["d"] == {"d/*/*/*/*/*", "d/*/*/*/*"}
-    assert of["f"] == {"f/s/s/s/s" + "/*" * 56 + f"/{word}/*" for word in ("in", "out")}
+    assert of["g"] == {"g/a/b/c/d/*/e/x/ads/*", "g/a/b/c/d/*/e/x/art/fine/*", "g/a/b/c/d/*/e/x/art/odd/*"}
+    assert of["e"] == {"e" + "/s" * 3000} and of["d"] == {"d/*/*/*/*/*", "d/*/*/*/*"}
+    assert of["f"] == {"f" + "/s" * 60 + f"/{word}/*" for word in ("in", "out")}
+
+
+def test_the_sql_at_any_depth(spark, tmp_path):
+    """A small bad branch of a hot host, branches at the fifth and at the eighth segment, ends on the way, odd URLs."""
+    made = [("http://hot/news/{}", 0)] * 600 + [("http://hot/casino/{}", 1)] * 8
+    for i in range(40):
+        made += [(f"http://h/2024/05/{i}/news/casino/{{}}", 1), (f"http://h/2024/05/{i}/news/sport/{{}}", 0), ("http://h/2024/05/{}", None)]
+        made += [(f"http://g/a/b/c/d/{i}/e/ads/{{}}", 1), (f"http://g/a/b/c/d/{i}/e/art/fine/{{}}", 0), (f"http://g/a/b/c/d/{i}/e/art/odd/{{}}", 1)]
+        made += [("http://g/a/b", None), ("http://f/*/x/**/{}", 1), (f"http://f/{'in' if i % 2 else 'out'}.html/{{}}/", i % 2), (None, None), ("x", None)]
+    # The number at the end of its URL is that of a page's label.
+    pages = [(i, u if u is None else u.format(i)) for i, (u, _) in enumerate(made)]
+    labels = [(i, 1 - b, 0) for i, (_, b) in enumerate(made) if b is not None]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    frame = queries.op9_urls(spark, str(tmp_path))
+    same_as_sql(frame, con, queries.SQL["op9_urls"])
+    found = {(r.template, r.verdict) for r in frame.collect()}
+    assert found >= {("hot/news/*", "allow"), ("hot/casino/*", "block"), ("g/a/b/c/d/*/e/art/fine/*", "allow"), ("g/a/b/c/d/*/e/art/odd/*", "block")}
