@@ -1,12 +1,15 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text is the set of its paragraphs' digests: lines, long ones cut every PIECE_WORDS
-words. Each digest is added to one cell of each of three tables, and a cell keeps a
-count, the exclusive-or of its digests and of their check sums. The cells of two
-versions subtract, so that what they share vanishes; a cell that is left with a
-single digest, proven by its check sum, gives it away, and taking that digest out of
-its other cells lays more of them bare, until the whole difference is known. If some
-cells never come bare, the sketches are made again, larger and with other hashes.
+A text is the set of its paragraphs' digests: lines, long ones cut after words whose
+hash says so, about every PIECE_WORDS words, so that an edit changes the pieces around
+it only. Each digest is added to one cell of each of three tables, and a cell keeps a
+count, the exclusive-or of its digests and of their check sums. The fingerprint is
+such a sketch of few cells. The cells of two fingerprints subtract, so that what the
+texts share vanishes; a cell that is left with a single digest, proven by its check sum,
+gives it away, and taking that digest out of its other cells lays more of them bare,
+until the whole difference is known. If some cells never come bare, the sketches are made
+again, larger and with other hashes; how much larger, the squares of the counts tell,
+whose sum in a table is about the size of the difference.
 
 Only filled cells are stored, sorted by number; adding sketches is a merge of sorted
 arrays, so the work for a text grows with its length.
@@ -19,27 +22,42 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.ordering import numbered
 
-PIECE_WORDS = 32
+PIECE_WORDS = 24     # in a piece of a long line, on average
 TABLES = 3
 CELLS = 8            # in a table of the fingerprint; twice as many at each retry
 GROWTH = 2
-LEVELS = 24          # 134 million cells a table
+LEVELS = 24          # 134 million cells a table; a difference beyond ends the job with an error
+ROOM = 1.5           # cells for each digest that a difference is thought to have
 ROUNDS = 60          # of laying bare, at most; no progress ends it sooner
 BLOCK_ROWS = 1024    # neighbours that are put together, about
 MOST_BLOCKS = 4096   # their first ids are in the plan
 
 _CELL = "struct<i:bigint,c:bigint,k:bigint,h:bigint>"
-_PIECE = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B\x0C]+[^\x20\x09-\x0D]+){{0,{PIECE_WORDS - 1}}}"
-
 
 def _let(value: Column, body) -> Column:
     """`body(value)`, with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _pieces(line: Column) -> Column:
+    """The digests of a line's pieces, words alone counting."""
+
+    def cut(words: Column) -> Column:
+        last = lambda i: (i == F.size(words)) | (F.pmod(F.xxhash64(F.get(words, i - 1)), F.lit(PIECE_WORDS)) == 0)
+        ends = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(1), F.size(words)), last)).otherwise(F.array().cast("array<int>"))
+
+        def digest(end: Column, x: Column, ends: Column) -> Column:
+            before = F.coalesce(F.get(ends, x - 1), F.lit(0))
+            return F.xxhash64(F.slice(words, before + 1, end - before))
+
+        return _let(ends, lambda ends: F.transform(ends, lambda end, x: digest(end, x, ends)))
+
+    return _let(F.filter(F.split(line, r"[\x20\x09\x0B\x0C]+"), lambda w: w != ""), cut)
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), 0), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.flatten(F.transform(F.split(text, r"[\n\r]+"), _pieces)))
 
 
 def _check(key: Column) -> Column:
@@ -127,27 +145,46 @@ def peeled(cells: Column, level: Column) -> Column:
     )
 
 
-def difference(one: Column, other: Column) -> Column:
-    """The digests that two sets do not share, from their sketches: first at the level
-    that has a cell for each digest of both, and a level higher at each failure."""
-    both = F.greatest(F.size(one) + F.size(other), F.lit(1)) / float(TABLES * CELLS)
-    first = F.greatest(F.lit(0), F.ceil(F.log(both) / F.log(F.lit(float(GROWTH))))).cast("int")
-    none = F.lit(None).cast("struct<plus:array<bigint>,minus:array<bigint>>")
-    levels = F.sequence(F.least(first, F.lit(LEVELS)), F.lit(LEVELS))
-    return F.aggregate(levels, none, lambda acc, level: F.coalesce(acc, peeled(subtracted(one, other, level), level)))
+def _minus(cells: Column) -> Column:
+    return F.transform(cells, lambda c: F.struct(c["i"].alias("i"), (-c["c"]).alias("c"), c["k"].alias("k"), c["h"].alias("h")))
+
+
+def difference(one: Column, other: Column, cells: Column | None = None, other_cells: Column | None = None) -> Column:
+    """The digests that two sets do not share, `struct<plus, minus, level>`: from the cells of their
+    fingerprints, and where these do not come bare, from larger sketches, a level higher
+    at each failure. Of the levels, those that the counts say are too small are left out."""
+    cells = sketch(one, F.lit(0)) if cells is None else cells
+    other_cells = sketch(other, F.lit(0)) if other_cells is None else other_cells
+
+    def found(at: Column, level: Column) -> Column:
+        named = lambda d: F.when(d.isNotNull(), F.struct(d["plus"].alias("plus"), d["minus"].alias("minus"), level.alias("level")))
+        return _let(peeled(at, level), named)
+
+    def larger(apart: Column) -> Column:
+        about = F.aggregate(apart, F.lit(0.0), lambda acc, c: acc + c["c"] * c["c"]) / TABLES
+        first = F.ceil(F.log(F.greatest(about, F.lit(1.0)) * ROOM / (TABLES * CELLS)) / F.log(F.lit(float(GROWTH)))).cast("int")
+        levels = F.sequence(F.least(F.greatest(first, F.lit(1)), F.lit(LEVELS)), F.lit(LEVELS))
+        none = F.lit(None).cast("struct<plus:array<bigint>,minus:array<bigint>,level:int>")
+        return F.aggregate(levels, none, lambda acc, level: F.coalesce(acc, found(subtracted(one, other, level), level)))
+
+    lost = F.raise_error(F.lit("the difference of two sketches is larger than the last level holds"))
+    return _let(
+        _merged(F.concat(cells, _minus(other_cells))),
+        lambda apart: F.coalesce(found(apart, F.lit(0)), larger(apart), lost),
+    )
 
 
-def likeness(one: Column, other: Column) -> Column:
+def likeness(one: Column, other: Column, cells: Column | None = None, other_cells: Column | None = None) -> Column:
     """1 for equal sets, 0 for sets that share nothing: 1 - |difference| / (|one| + |other|)."""
     both = (F.size(one) + F.size(other)).cast("double")
-    apart = _let(difference(one, other), lambda d: F.size(d["plus"]) + F.size(d["minus"]))
+    apart = _let(difference(one, other, cells, other_cells), lambda d: F.size(d["plus"]) + F.size(d["minus"]))
     return F.when(both == 0, F.lit(1.0)).otherwise(1 - apart / both)
 
 
-def fingerprint(keys: Column) -> Column:
+def fingerprint(cells: Column) -> Column:
     """The cells of the first level as text, `number:count:digests:checks` in hexadecimal."""
     part = lambda c: F.concat_ws(":", F.hex(c["i"]), F.hex(c["c"]), F.hex(c["k"]), F.hex(c["h"]))
-    return F.lower(F.array_join(F.transform(sketch(keys, F.lit(0)), part), "."))
+    return F.lower(F.array_join(F.transform(cells, part), "."))
 
 
 def _block(doc_id: Column, firsts: list) -> Column:
@@ -215,9 +252,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         "doc_id", n_chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         "keys", digests(F.col("edited")).alias("edited_keys"), "next_keys",
     )
+    for name in ("keys", "edited_keys", "next_keys"):
+        pairs = pairs.withColumn(name.replace("keys", "cells"), sketch(F.col(name), F.lit(0)))
+    near = lambda name: likeness(F.col("keys"), F.col(f"{name}_keys"), F.col("cells"), F.col(f"{name}_cells"))
     return pairs.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"),
-        fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("cells")).alias("fingerprint"),
+        fingerprint(F.col("edited_cells")).alias("edited_fingerprint"),
+        near("edited").alias("near_edited"), near("next").alias("near_next"),
     )

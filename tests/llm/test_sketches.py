@@ -1,5 +1,6 @@
 """Sketches: cells against direct computation, differences exactly recovered, edge rows."""
 
+import functools
 import hashlib
 import re
 import struct
@@ -24,13 +25,16 @@ def spark_hash(key, *numbers):
 
 def keys_of(text):
     pieces = []
-    for line in re.split("\n", text or ""):
-        for part in line.split("\r"):
-            words = [w for w in re.finditer(r"[^\x20\x09-\x0D]+", part)]
-            for at in range(0, len(words), sketches.PIECE_WORDS):
-                some = words[at : at + sketches.PIECE_WORDS]
-                pieces.append(part[some[0].start() : some[-1].end()])
-    return {signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in pieces}
+    for line in re.split("[\n\r]", text or ""):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        piece = []
+        for i, word in enumerate(words):
+            piece.append(word)
+            if i + 1 == len(words) or signed(xxhash.xxh64_intdigest(word, 42)) % sketches.PIECE_WORDS == 0:
+                pieces.append(piece)
+                piece = []
+    digest = lambda piece: functools.reduce(lambda seed, word: xxhash.xxh64_intdigest(word, seed), piece, 42)
+    return {signed(digest(p)) for p in pieces}
 
 
 def plain_fingerprint(text):
@@ -74,6 +78,24 @@ def test_difference(spark, sizes):
     assert sorted(found.plus) == sorted(one) and sorted(found.minus) == sorted(two)
 
 
+def test_retries(spark):
+    """A small difference comes from the fingerprints' cells, however large the sets; a larger one from larger sketches."""
+    key = lambda n: signed(xxhash.xxh64_intdigest(str(n)))
+    sets = [([key(i) for i in range(n)], [key(i) for i in range(d, n)]) for n, d in [(3000, 3), (3000, 0), (3000, 900), (60, 60)]]
+    sets.append(([key(i) for i in range(500)], [key(-1 - i) for i in range(500)]))
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(sets)], "n int, a array<bigint>, b array<bigint>")
+    found = [r.d for r in rows.select("n", sketches.difference(F.col("a"), F.col("b")).alias("d")).orderBy("n").collect()]
+    assert [len(d.plus) + len(d.minus) for d in found] == [3, 0, 900, 60, 1000]
+    assert [d.level > 0 for d in found] == [False, False, True, True, True]
+
+
+def test_an_inserted_word(spark):
+    line = [f"w{i}" for i in range(400)]
+    rows = spark.createDataFrame([(" ".join(line), " ".join([*line[:at], "new", *line[at:]])) for at in (0, 1, 200, 399)], "a string, b string")
+    near = rows.select(sketches.likeness(sketches.digests(F.col("a")), sketches.digests(F.col("b"))).alias("near"))
+    assert all(0.8 < r.near < 1 for r in near.collect())
+
+
 def test_failure_is_seen_and_retried(spark):
     keys = [signed(xxhash.xxh64_intdigest(str(n))) for n in range(100)]
     rows = spark.createDataFrame([(keys, [])], "a array<bigint>, b array<bigint>")
