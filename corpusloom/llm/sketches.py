@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.ordering import numbered
 
-PIECE_WORDS = 24     # in a piece of a long line, on average
+PIECE_WORDS = 32     # in a piece of a long line, on average
 TABLES = 3
 CELLS = 8            # in a table of the fingerprint; twice as many at each retry
 GROWTH = 2
 LEVELS = 24          # 134 million cells a table; a difference beyond ends the job with an error
-ROOM = 1.5           # cells for each digest that a difference is thought to have
+ROOM = 8.0           # cells for each digest that a difference is thought to have; only filled ones cost anything
+FULL = 0.5           # digests for each cell of the fingerprint from which peeling it is not tried
 ROUNDS = 60          # of laying bare, at most; no progress ends it sooner
 BLOCK_ROWS = 1024    # neighbours that are put together, about
 MOST_BLOCKS = 4096   # their first ids are in the plan
@@ -160,17 +161,20 @@ def difference(one: Column, other: Column, cells: Column | None = None, other_ce
         named = lambda d: F.when(d.isNotNull(), F.struct(d["plus"].alias("plus"), d["minus"].alias("minus"), level.alias("level")))
         return _let(peeled(at, level), named)
 
-    def larger(apart: Column) -> Column:
-        about = F.aggregate(apart, F.lit(0.0), lambda acc, c: acc + c["c"] * c["c"]) / TABLES
+    def about(apart: Column) -> Column:
+        return F.aggregate(apart, F.lit(0.0), lambda acc, c: acc + c["c"] * c["c"]) / TABLES
+
+    def larger(about: Column) -> Column:
         first = F.ceil(F.log(F.greatest(about, F.lit(1.0)) * ROOM / (TABLES * CELLS)) / F.log(F.lit(float(GROWTH)))).cast("int")
         levels = F.sequence(F.least(F.greatest(first, F.lit(1)), F.lit(LEVELS)), F.lit(LEVELS))
         none = F.lit(None).cast("struct<plus:array<bigint>,minus:array<bigint>,level:int>")
         return F.aggregate(levels, none, lambda acc, level: F.coalesce(acc, found(subtracted(one, other, level), level)))
 
     lost = F.raise_error(F.lit("the difference of two sketches is larger than the last level holds"))
+    small = lambda apart: F.when(about(apart) <= FULL * TABLES * CELLS, found(apart, F.lit(0)))
     return _let(
         _merged(F.concat(cells, _minus(other_cells))),
-        lambda apart: F.coalesce(found(apart, F.lit(0)), larger(apart), lost),
+        lambda apart: F.coalesce(small(apart), _let(about(apart), larger), lost),
     )
 
 
