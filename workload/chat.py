@@ -246,11 +246,10 @@ def chat_cache_entries(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, name):
+    """A table as a stream, be it a file or a folder of files. A stream's path has to be a
+    folder or a pattern: this one fits the table's name only."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def chat_log_stream(spark, sf_dir):
