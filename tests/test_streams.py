@@ -26,3 +26,10 @@ def tables(request, spark, tmp_path):
 def test_log_of_a_streamed_table(spark, tables):
     found = chat.chat_log_stream(spark, tables).collect()
     assert sorted((r.PK, r.message) for r in found) == [("CHAT#1", "Where is the tea?"), ("CHAT#2", "hi")]
+
+
+def test_retrieval_for_a_streamed_table(spark, tables):
+    found = chat.retrieve_stream_rows(spark, tables).where("id = 'S1' or id is null").collect()
+    ids = {r.q_id: r.text for r in found}
+    assert set(ids) == {"1-0", "1-0-blank", "2-0", "2-0-blank", "2-1", "2-1-blank"}
+    assert ids["1-0"] == "I like tea." and ids["2-1"] is None and ids["1-0-blank"] is None
