@@ -58,6 +58,30 @@ def test_tiles_are_cut(spark, monkeypatch):
     assert found == brute_force(questions, chunks, 7)
 
 
+def test_a_scan_holds_one_block_and_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SCAN_QUESTIONS", 4)
+    monkeypatch.setattr(knn, "TILE_CHUNKS", 16)
+    rng = np.random.default_rng(3)
+    questions = {i: rng.normal(size=5).tolist() for i in range(11)}
+    chunks = {f"c{i:03d}": rng.normal(size=5).tolist() for i in range(60)}
+    chunks |= {f"copy{i:03d}": chunks["c007"] for i in range(30)}
+    found, _ = search(spark, questions, chunks, 7)
+    assert found == brute_force(questions, chunks, 7)
+    qs = spark.createDataFrame(list(questions.items()), "q_id int, qvec array<float>")
+    cs = spark.createDataFrame(list(chunks.items()), "chunk_id string, embedding array<float>").coalesce(1)
+    handed_on = knn._scan(qs, cs, 7, knn._candidates_schema(qs.schema["q_id"].dataType))
+    assert handed_on.count() >= 11 * 7 * 5  # what is best in each tile, not in the task
+
+
+def test_close_scores_are_told_apart(spark):
+    """Differences that single precision does not show."""
+    base = np.array([1.0, 2.0, 3.0, 4.0])
+    chunks = {f"c{(i * 7) % 40:02d}": (base + [0, 0, 0, i * 1e-6]).astype(np.float32).tolist() for i in range(40)}
+    questions = {0: [1.0, 2.0, 3.0, 4.0], 1: [-1.0, 0.5, 0.0, 1.0]}
+    for options in ({}, {"broadcast_bytes": 0}):
+        assert search(spark, questions, chunks, 5, **options)[0] == brute_force(questions, chunks, 5)
+
+
 def test_scores_and_prefix(spark):
     rng = np.random.default_rng(2)
     questions = {i: rng.normal(size=4).tolist() for i in range(3)}
