@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import cache
+from corpusloom.streaming.cache import replay_stream
 from workload import chat
 
 TURNS = [(1, 0, "user", "Where is the tea?"), (1, 1, "assistant", "In the pot."), (2, 0, "user", "hi"), (2, 1, "user", None)]
@@ -33,3 +35,25 @@ def test_retrieval_for_a_streamed_table(spark, tables):
     ids = {r.q_id: r.text for r in found}
     assert set(ids) == {"1-0", "1-0-blank", "2-0", "2-0-blank", "2-1", "2-1-blank"}
     assert ids["1-0"] == "I like tea." and ids["2-1"] is None and ids["1-0-blank"] is None
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "binary"])
+def test_keys_share_a_group_of_the_stream(spark, tmp_path, kind):
+    """Few groups, each with many keys: also a null key, and keys of later batches only."""
+    rows = [(None if key == 9 else key, hour, hour * 100 + key) for key in range(60) for hour in {key % 5, 5, 30, 47, 50, 60, 99}]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    frame = spark.createDataFrame(rows, "key long, hour long, request_id long").select(
+        F.col("key").cast("string").cast(kind).alias("key"), F.timestamp_seconds(F.col("hour") * 3600).alias("ts"), "request_id")
+    for early in (True, False):
+        frame.where((F.col("request_id") < 4900) == early).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = replay_stream(stream, buckets=4)
+    (found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+     .trigger(availableNow=True).start(path).awaitTermination())
+    groups = found._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in groups
+    key = F.coalesce(F.hex("key"), F.lit("none"))
+    expected = cache.replay(frame.withColumn("key", key)).select("key", "request_id", "hit")
+    found = spark.read.parquet(path).withColumn("key", key).select("key", "request_id", "hit")
+    assert sorted(found.collect()) == sorted(expected.collect())
+    assert {r.hit for r in found.collect()} == {True, False}
