@@ -131,3 +131,23 @@ def test_long_markdown_takes_linear_time(evaluate):
     texts = [mark * 100_000 for mark in ("*", "*a ", "[", "[a](", "`", "<a ", "<!-- ", "\\", "&", "\n\nx", ">", "- ", " ", "x", "_a", "#")]
     assert len(evaluate(markdown_text, texts)) == len(texts)
     assert monotonic() - began < 60
+
+
+def test_code_in_a_text_is_found_once(evaluate):
+    """Very many spans: the list of them is made once for the text."""
+    from corpusloom.operators.extract import markdown_text
+
+    found = evaluate(markdown_text, ["`*a*` \\*b " * 30_000, "`a` b", "", None])
+    assert found[0].split() == ["*a*", "*b"] * 30_000 and found[1:] == ["\na\n b", "", None]
+
+
+def test_plain_texts_are_not_taken_for_markdown(spark):
+    """The rules see the texts of Markdown documents only, also before Python's step."""
+    from corpusloom.operators.extract import with_text
+
+    rows = spark.range(2).selectExpr("concat('a', id, '.txt') as key", "concat('**b** &amp; ', id) as text")
+    plan = with_text(rows)._jdf.queryExecution().optimizedPlan().toString()
+    given_to_python = plan[plan.index("ArrowEvalPython"):]
+    given_to_python = given_to_python[given_to_python.index("_unescaped("):given_to_python.index("pythonUDF")]
+    assert ".markdown" in given_to_python
+    assert {r.text for r in with_text(rows).collect()} == {"**b** &amp; 0", "**b** &amp; 1"}
