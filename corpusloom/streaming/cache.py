@@ -35,6 +35,8 @@ class _Expiry(StatefulProcessor):
         # A micro-batch may bring a key's rows out of order. Its size, and so that
         # of a group, is what the source is told to hand on per trigger.
         batch = pd.concat(list(rows), ignore_index=True)
+        if batch["t"].isna().any():
+            raise ValueError("a request has no time")
         codes, names = pd.factorize(batch["name"], use_na_sentinel=False)
         batch = batch.assign(code=codes).sort_values(["code", "t", "request_id"], kind="stable", ignore_index=True)
         bounds = batch["code"].searchsorted(range(len(names) + 1)).tolist()

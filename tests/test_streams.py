@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from corpusloom.operators import cache
 from corpusloom.streaming.cache import replay_stream
 from workload import chat
 
+START = datetime(2024, 1, 1)
 TURNS = [(1, 0, "user", "Where is the tea?"), (1, 1, "assistant", "In the pot."), (2, 0, "user", "hi"), (2, 1, "user", None)]
 
 
@@ -57,3 +60,14 @@ def test_keys_share_a_group_of_the_stream(spark, tmp_path, kind):
     found = spark.read.parquet(path).withColumn("key", key).select("key", "request_id", "hit")
     assert sorted(found.collect()) == sorted(expected.collect())
     assert {r.hit for r in found.collect()} == {True, False}
+
+
+def test_a_request_without_time_ends_the_stream(spark, tmp_path):
+    """With an error, not with an endless search for the next miss."""
+    rows = spark.createDataFrame([("k", START, 1), ("k", None, 2)], "key string, ts timestamp, request_id long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = replay_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), buckets=1)
+    started = (found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+               .trigger(availableNow=True).start(str(tmp_path / "out")))
+    with pytest.raises(Exception, match="no time"):
+        started.awaitTermination()
