@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import binary_fuse
-from corpusloom.session import written
+from corpusloom.session import unsized, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 SHARD_KEYS = 500_000       # distinct digests in a filter, about
@@ -95,8 +95,8 @@ def screened(classes: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
-    """A written table, broadcast if its counted rows are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """A written table, broadcast if its counted rows are few, and only then."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else unsized(rows)
 
 
 def _same_bytes(hits: DataFrame, documents: DataFrame) -> DataFrame:

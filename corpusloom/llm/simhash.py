@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.exact_dedup import text_key
-from corpusloom.session import written
+from corpusloom.llm.exact_dedup import BROADCAST_ROWS, text_key
+from corpusloom.session import unsized, written
 
 BITS = 64
 SEED = 42
@@ -104,17 +104,17 @@ def links(fps: DataFrame) -> DataFrame:
     point = _bit_counts(F.col("fp"))
     grid = fps.select("fp", F.explode(_cells(point)).alias("cell")).where("cell IS NOT NULL")
     counts = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = written(grid.join(counts, "cell"), "cells")
+    shared = written(unsized(grid).join(counts, "cell"), "cells")
 
     paired = shared.where(F.col("members") <= CROWD)
     left, right = paired.select("cell", F.col("fp").alias("a")), paired.select("cell", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    pairs = left.join(right, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = unsized(left).join(right, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
     crowded = shared.where(F.col("members") > CROWD).select("fp").distinct()
     flips = crowded.select("fp", F.explode(_bit_flips(F.col("fp"))).alias("cell"))
     least = flips.groupBy("cell").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = flips.join(least, "cell").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+    stars = unsized(flips).join(least, "cell").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -134,12 +134,13 @@ def components(edges: DataFrame) -> DataFrame:
             )
         was = mark
         parts = -(-mark[0] // ROUND_EDGES)  # stars never have more edges than before
+        sized = unsized if mark[0] > BROADCAST_ROWS else lambda rows: rows
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sized(both).join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large.coalesce(parts), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = sized(large).join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts), "stars")
 
 

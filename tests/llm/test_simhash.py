@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import queries, simhash
 from corpusloom.llm.exact_dedup import survivors
@@ -52,6 +53,30 @@ def test_links(spark, monkeypatch, crowd):
     assert roots == expected
 
 
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch, capsys):
+    """Spark takes 33 cells, or 65 flips, of a fingerprint for one row."""
+    plans = []
+
+    def explained(rows, name):
+        rows.explain()
+        plans.append(capsys.readouterr().out)
+        return written(rows, name)
+
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", explained)
+    frame = written(spark.range(100).select(F.xxhash64("id").alias("fp")), "fps")
+    edges = simhash.links(frame)
+    edges.explain()
+    plans.append(capsys.readouterr().out)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    few = simhash.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    assert any("Broadcast" in p for p in plans[2:]) and few.count() == 3
+    plans.clear()
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert simhash.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_components_of_chains(spark):
     rng = random.Random(5)
     names = rng.sample(range(10**6), 300)
