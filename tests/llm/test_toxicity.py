@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import queries, toxicity
 
@@ -77,6 +78,34 @@ def test_learning_and_edges(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_all_labels_are_learnt(spark, monkeypatch):
+    """A word that only few of many labelled texts have, and none of any one sample, counts as much in
+    shards as in one; what the shards fit together tells the held-out texts apart."""
+    docs, labels = made(spark)
+    one = toxicity.train(docs, labels)
+    fitted = []
+    over = toxicity._over_shards
+
+    def kept(rows, shards, run, average):
+        fitted.append((rows.count(), shards))
+        return over(rows, shards, run, average)
+
+    monkeypatch.setattr(toxicity, "_over_shards", kept)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    many = toxicity.train(docs, labels)
+    known = labels.where(~toxicity.held_out() & F.col("toxic").isNotNull()).select("doc_id").distinct().join(docs, "doc_id")
+    apart = F.crc32(F.concat(F.lit("apart"), F.col("doc_id")).cast("binary")) % 5 == 0
+    number = known.where(~apart).select("doc_id").distinct().count()
+    assert fitted == [(number, -(-number // 150))] * 2 and number > 4 * 150
+    again = toxicity.train(docs.repartition(3), labels)
+    assert (again.rows == many.rows).all() and again.thresholds == many.thresholds
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    for model in (one, many):
+        found = toxicity.scored(docs, model).where(toxicity.held_out() & (F.col("doc_id") < 1500)).toPandas()
+        y, p = np.array([truth[i] for i in found.doc_id]), found.score.to_numpy() >= toxicity.THRESHOLD
+        assert (p & (y == 1)).sum() >= 0.85 * y.sum() and (p & (y == 0)).sum() <= 0.02 * len(y)
+
+
 def test_labels_are_kept_apart(spark):
     docs, labels = made(spark, 300)
     sample = toxicity.sampled(docs, labels)
