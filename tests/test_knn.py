@@ -73,6 +73,31 @@ def test_a_scan_holds_one_block_and_one_tile(spark, monkeypatch):
     assert handed_on.count() >= 11 * 7 * 5  # what is best in each tile, not in the task
 
 
+def test_parts_shuffle_no_vectors(spark, monkeypatch):
+    """Many questions: a part of them is broadcast at a time, and a task hands on what is best in
+    all its tiles, copies, zero and missing vectors among them."""
+    monkeypatch.setattr(knn, "SCAN_QUESTIONS", 3)
+    monkeypatch.setattr(knn, "TILE_CHUNKS", 16)
+    handed_on = []
+    ranked = knn._ranked
+
+    def counted(found, k):
+        handed_on.append(found.count())
+        return ranked(found, k)
+
+    monkeypatch.setattr(knn, "_ranked", counted)
+    monkeypatch.setattr(knn, "_tiles", None)
+    rng = np.random.default_rng(5)
+    questions = {i: rng.normal(size=5).tolist() for i in range(23)}
+    chunks = {f"c{i:03d}": rng.normal(size=5).tolist() for i in range(150)}
+    chunks |= {f"copy{i:03d}": chunks["c007"] for i in range(60)} | {"none": None, "zero": [0.0] * 5}
+    found, _ = search(spark, questions, chunks, 7, broadcast_bytes=700)
+    assert found == brute_force(questions, chunks, 7)
+    assert len(handed_on) == 3 and sum(handed_on) == 23 * 7 * 3  # of three partitions, whatever their tiles
+    few = dict(list(questions.items())[:2])
+    assert search(spark, few, {"zero": [0.0] * 5, "none": None, "b": [1.0] * 5}, 7, broadcast_bytes=50)[0] == {q: ["b", "zero", "none"] for q in few}
+
+
 def test_close_scores_are_told_apart(spark):
     """Differences that single precision does not show."""
     base = np.array([1.0, 2.0, 3.0, 4.0])
