@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.functions.questions import cache_key
+from corpusloom.functions.questions import cache_key, clean_snippet
 from corpusloom.operators import answers as A
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.chunking import build_chunks
@@ -143,3 +143,24 @@ def test_messages(spark):
     found = [[(m.role, m.content) for m in r[0]] for r in rows.select(messages).collect()]
     assert found[0][2] == ("assistant", "Context (cite as S1..):\n[S1] t — x")
     assert [len(f) for f in found] == [4, 3] and found[1][-1] == ("user", "q\ndo")
+
+
+def test_contents_are_cut_before_they_move(spark, monkeypatch):
+    """A snippet shows the beginning of a content, so no more of it is shuffled; what is shown stays the same."""
+    import corpusloom.plans.retrieve as plan
+
+    searched, search = [], plan.boosted_top_k
+
+    def kept(questions, chunks, **options):
+        searched.append(chunks)
+        return search(questions, chunks, **options)
+
+    monkeypatch.setattr(plan, "boosted_top_k", kept)
+    texts = {"a": "Alpha  beta\n" + "word " * 500, "b": "alpha http : / / example.org " * 60, "c": None, "d": ""}
+    rows = [(k, k, k, "", v, [1.0, float(i)]) for i, (k, v) in enumerate(texts.items())]
+    chunks = spark.createDataFrame(rows, "chunk_id string, title string, section string, url string, content string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "alpha beta", None)], "q_id int, q string, query string")
+    found = plan.retrieve(asked, chunks, dim=2).first()
+    expected = {r.chunk_id: r.text for r in chunks.select("chunk_id", clean_snippet(F.col("content")).alias("text")).collect()}
+    assert {s.title: s.text for s in found.snippets} == expected
+    assert searched[0].agg(F.max(F.length("content"))).first()[0] == len(expected["a"]) == 600
